@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe
+from . import byte_bpe, prefix_counts
 from .shared import vocabulary
 
 
@@ -13,6 +13,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def op4_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = prefix_counts.with_prefix_counts(documents(spark, sf_dir, "doc_id", "text"), model_path=vocabulary("word_bpe_49k.json"), outputs=("n_tokens",))
+    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -21,6 +26,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_prefix_counts": op4_prefix_counts,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
