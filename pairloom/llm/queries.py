@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, prefix_counts
-from .shared import vocabulary
+from . import byte_bpe, prefix_counts, token_store
+from .shared import fresh_path, vocabulary
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op4_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write(documents(spark, sf_dir, "doc_id", "text"), fresh_path(spark, "token-store"), model_path=vocabulary("word_bpe_49k.json"))
+    return token_store.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -27,6 +32,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_prefix_counts": op4_prefix_counts,
+    "op6_token_store": op6_token_store,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
