@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, prefix_counts, token_store
+from . import byte_bpe, fair_mix, prefix_counts, token_store
 from .shared import fresh_path, vocabulary
 
 
@@ -23,6 +23,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix.schedule(documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -33,6 +37,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_prefix_counts": op4_prefix_counts,
     "op6_token_store": op6_token_store,
+    "op7_fair_mix": op7_fair_mix,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
