@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fair_mix, prefix_counts, token_store
+from . import byte_bpe, fair_mix, langid, prefix_counts, token_store
+from .learning import remainder
 from .shared import fresh_path, vocabulary
 
 
@@ -34,11 +35,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(docs, ranks_path=vocabulary("byte_bpe_50k.tiktoken"), pattern=PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = langid.fit(docs.where(remainder("doc_id", 4) != 2))
+    found = langid.identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 QUERIES = {
     "op4_prefix_counts": op4_prefix_counts,
     "op6_token_store": op6_token_store,
     "op7_fair_mix": op7_fair_mix,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}
