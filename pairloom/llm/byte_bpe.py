@@ -15,13 +15,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import PieceCache, once, read_bytes
+from .shared import ChunkTable, PieceCache, cut_ids, encoded_pieces, once, read_bytes
 
 TYPES = {
     "n_tokens": ("bigint", pa.int64()),
@@ -90,13 +91,29 @@ class ByteBpe:
             self.bytes_of[i] = bytes(back[c] for c in spelt)
         self.size_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.digits_of = [str(i) for i in range(len(self.bytes_of))]
-        self.cache = PieceCache(self._encode_new)
+        self.model, self.spell = self.tokenizer.model, byte_table()
+        self.table = ChunkTable(PieceCache(self._encode_new), "<u4", lead=True)
 
     def _encode_new(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return encoded_pieces(pieces, self._encode_word, self._encode_all)
+
+    def _encode_word(self, piece: str) -> bytes:
+        """The pattern takes letters and one blank before them as one, so the library's model gets them directly."""
+        spelt = piece.replace(" ", self.spell[0x20]) if piece.isascii() else "".join(map(self.spell.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def _encode_all(self, text: str, ends: list[int]) -> list[bytes]:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        if len(ends) == 1:
+            return cut_ids(ids, [len(ids)])
+        if not text.isascii():
+            sizes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            sizes = 1 + (sizes > 0x7F).astype(np.int64) + (sizes > 0x7FF) + (sizes > 0xFFFF)
+            ends = np.cumsum(sizes)[np.array(ends) - 1]
+        return cut_ids(ids, (np.searchsorted(np.cumsum(self.size_of[ids]), ends) + 1).tolist())
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.cache.join(text) if text else b"", "<u4")
+        return next(self.table.each(pa.array([text], pa.string())))
 
     def decode(self, ids) -> bytes:
         """The bytes of the ids; decode them as UTF-8 only when all tokens of a character are there."""
@@ -113,8 +130,7 @@ class ByteBpe:
         starts = ends - self.size_of[ids]
         return lead[starts + 1] - 1, lead[ends]
 
-    def outputs(self, text: str | None, names: tuple[str, ...]) -> tuple:
-        ids = self.encode(text)
+    def outputs(self, ids: np.ndarray, names: tuple[str, ...]) -> tuple:
         listed = ids.tolist()
         found: dict = {"n_tokens": len(listed)}
         if {"decoded", "decoded_sha256"} & {*names}:
@@ -146,7 +162,7 @@ def encoded(df: DataFrame, text: str | Column = "text", *, ranks_path: str, patt
     @F.arrow_udf("struct<" + ", ".join(f"{n}: {TYPES[n][0]}" for n in outputs) + ">")
     def run(texts: pa.Array) -> pa.Array:
         codec = once(("byte_bpe", key), lambda: ByteBpe(description.value))
-        rows = [codec.outputs(x.as_py(), outputs) for x in texts]
+        rows = [codec.outputs(ids, outputs) for ids in codec.table.each(texts)]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], TYPES[n][1]) for i, n in enumerate(outputs)], names=list(outputs))
 
     return unpacked(df, run(F.col(text) if isinstance(text, str) else text), outputs)

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Unicode's White_Space code points, as the body of a character class (fixed values).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Latin letters up to U+024F, as the body of a character class (fixed values).
+LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: A run without white space, with the white space before it. Latin letters that begin a run are cut off if an ASCII
+#: character that is no letter follows: that can't combine with them, and every pattern used here ends a token there.
+PIECE = re.compile(f"[{WHITE}]*(?:[{LATIN}]+(?=[!-@\\[-`{{-\x7f{WHITE}]|\\Z)|[^{WHITE}]+)|[{WHITE}]+")
+#: A piece that is one word of Latin letters, after one blank or none.
+WORD_PIECE = re.compile(f" ?[{LATIN}]+")
 EDGE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 #: Words of the contracts on documents: runs without ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -57,6 +69,18 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def without_gc():
+    """The caches are many small objects without cycles; searching them for cycles again and again costs more than the work."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
     """``text`` in blocks of about ``size`` code points, each but the first starting with white space after a non-space."""
     if len(text) <= size:
@@ -70,30 +94,154 @@ def blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
         at = end
 
 
-class PieceCache(dict):
-    """piece -> encoded bytes, for pieces of white space followed by a run without any.
+class PieceCache:
+    """piece -> encoded bytes.
 
-    No pattern of the vocabularies used here reaches from a non-space into white space, so a text's encoding
-    is that of its pieces, one after another. ``encode`` gets the pieces not seen yet; at ``limit`` entries the
-    cache starts afresh, so its memory is bounded.
+    No pattern of the vocabularies used here reaches over the end of a piece, so a text's encoding is that of its
+    pieces, one after another. ``encode`` gets the pieces not seen yet. The cache has two generations
+    of ``limit`` entries at most, so that its memory is bounded and common pieces stay.
     """
 
     def __init__(self, encode, limit: int = 250_000, longest: int = 48):
-        super().__init__()
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.encode, self.limit, self.longest = encode, limit, longest
 
     def join(self, text: str) -> bytes:
         out = []
         for block in blocks(text):
             pieces = PIECE.findall(block)
-            new = [*set(pieces).difference(self)]
-            if new and len(self) + len(new) > self.limit:
-                self.clear()
-                new = [*set(pieces)]
+            new = set(pieces).difference(self.known)
             if new:
-                self.update(zip(new, self.encode(new), strict=True))
-            out.append(b"".join(map(self.__getitem__, pieces)))
+                if len(self.known) + len(new) > self.limit:
+                    self.known, self.before, new = {}, self.known, set(pieces)
+                before = self.before
+                self.known.update([(x, before[x]) for x in new if x in before])
+                fresh = [x for x in new if x not in before]
+                self.known.update(zip(fresh, self.encode(fresh), strict=True))
+            out.append(b"".join(map(self.known.__getitem__, pieces)))
             for x in new:
                 if len(x) > self.longest:
-                    del self[x]
+                    del self.known[x]
         return out[0] if len(out) == 1 else b"".join(out)
+
+    def join_each(self, texts: list[str]) -> list[bytes]:
+        """As ``join`` of each of many short texts."""
+        found = [PIECE.findall(x) for x in texts]
+        pieces = set().union(*found)
+        if len(self.known) + len(pieces) > self.limit:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = pieces.difference(known)
+        known.update([(x, before[x]) for x in new if x in before])
+        fresh = [x for x in new if x not in before]
+        known.update(zip(fresh, self.encode(fresh), strict=True))
+        get = known.__getitem__
+        out = [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in found]
+        for x in new:
+            if len(x) > self.longest:
+                del known[x]
+        return out
+
+
+class ChunkTable:
+    """Encodings of Arrow arrays of texts, by what stands between their blanks.
+
+    The texts are split at each blank and the chunks dictionary-encoded by Arrow, so that Python sees a chunk once for
+    some megabytes of text; the rows are put together again by index arithmetic. ``pieces`` encodes chunks that are
+    not in the cache. With ``lead`` a chunk takes the blank before it with it, else the blanks stand for ``blank``.
+    """
+
+    def __init__(self, pieces: PieceCache, dtype: str, *, lead: bool, blank: bytes = b"", limit: int = 250_000, slice_bytes: int = 8 << 20):
+        self.pieces, self.dtype, self.lead, self.blank, self.limit, self.slice_bytes = pieces, np.dtype(dtype), lead, blank, limit, slice_bytes
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _found(self, chunks: list[str]) -> list[bytes]:
+        if len(self.known) + len(chunks) > self.limit:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = [x for x in chunks if x not in known]
+        known.update([(x, before[x]) for x in new if x in before])
+        fresh = [x for x in new if x not in before]
+        for at in range(0, len(fresh), 20_000):
+            own = fresh[at : at + 20_000]
+            known.update(zip(own, self.pieces.join_each(own), strict=True))
+        out = [known[x] for x in chunks]
+        for x in new:
+            if len(x) > 48:
+                known.pop(x, None)
+        return out
+
+    def _slice(self, texts: pa.Array) -> list[np.ndarray]:
+        rows = pc.split_pattern(texts, " ")
+        ends = rows.offsets.to_numpy()[1:] - rows.offsets[0].as_py()
+        coded = rows.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        chunks = coded.dictionary.to_pylist()
+        firsts = np.concatenate(([0], ends[:-1]))
+        if self.lead:
+            used = np.unique(at[firsts])
+            heads = [chunks[i] for i in used]
+            at = at.copy()
+            at[firsts] = len(chunks) + np.searchsorted(used, at[firsts])
+            found = self._found([" " + x for x in chunks]) + self._found(heads)
+        else:
+            found = [x + self.blank for x in self._found(chunks)] if self.blank else self._found(chunks)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        pool, starts = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
+        own = sizes[at]
+        item_ends = np.cumsum(own)
+        where = np.repeat(starts[at] - (item_ends - own), own)
+        where += np.arange(len(where))
+        items, cuts = pool[where], item_ends[ends - 1]
+        drop = len(self.blank) // self.dtype.itemsize
+        return [items[a : b - drop] for a, b in zip(np.concatenate(([0], cuts[:-1])), cuts, strict=True)]
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The items of each text; none for null."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, f" [{WHITE}]| $").to_numpy(zero_copy_only=False) if self.lead else np.zeros(len(texts), bool)
+        sizes = pc.binary_length(texts).to_numpy()
+        odd |= sizes > 4 << 20  # these go by blocks
+        at = 0
+        while at < len(texts):
+            if odd[at]:
+                yield np.frombuffer(self.pieces.join(texts[at].as_py()), self.dtype)
+                at += 1
+                continue
+            end, size = at, 0
+            while end < len(texts) and not odd[end] and (size == 0 or size + sizes[end] <= self.slice_bytes):
+                size += int(sizes[end])
+                end += 1
+            with without_gc():
+                rows = self._slice(texts.slice(at, end - at))
+            yield from rows
+            at = end
+
+
+def encoded_pieces(pieces: list[str], encode_word, encode_all, group: int = 512) -> list[bytes]:
+    """The ids' bytes of each piece: single words from ``encode_word(piece)``, the rest from ``encode_all(text, ends)``.
+
+    Pieces that begin with white space go there as one text, with the code points at which they end, because a call
+    for each would cost more than the encoding.
+    """
+    found = {p: encode_word(p) for p in pieces if WORD_PIECE.fullmatch(p)}
+    joint = [p for p in pieces if p not in found and p[0].isspace() and not p[-1].isspace()]
+    for at in range(0, len(joint), group):
+        own = joint[at : at + group]
+        ends, end = [], 0
+        for p in own:
+            end += len(p)
+            ends.append(end)
+        found.update(zip(own, encode_all("".join(own), ends), strict=True))
+    return [found[p] if p in found else encode_all(p, [len(p)])[0] for p in pieces]
+
+
+def cut_ids(ids: list[int], cuts) -> list[bytes]:
+    """The bytes of ``ids`` as unsigned 32-bit integers, cut after as many ids as ``cuts`` tells."""
+    raw, before, out = array("I", ids).tobytes(), 0, []
+    for cut in cuts:
+        out.append(raw[4 * before : 4 * cut])
+        before = cut
+    return out
