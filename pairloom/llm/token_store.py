@@ -18,6 +18,8 @@ doc_id are all written, in the order of their ids' bytes. An empty table gives a
 from __future__ import annotations
 
 import hashlib
+import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PieceCache, once, read_bytes
+from .byte_bpe import byte_table
+from .shared import ChunkTable, PieceCache, cut_ids, encoded_pieces, once, read_bytes
 
 SEGMENT = "part int, seg int, before bigint, doc_ids binary, null_ids binary, doc_ends binary, n_docs int, n_tokens bigint, chunks array<binary>, more array<binary>, ranks array<binary>"
 ARROW = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("doc_ends", pa.binary()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("chunks", pa.list_(pa.binary())), ("more", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
@@ -103,13 +106,30 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)
-        self.cache = PieceCache(self._new)
+        self.model, self.spell = self.tokenizer.model, byte_table()
+        spec = json.loads(description)
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.direct = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in spec["pre_tokenizer"].get("pretokenizers", [])] == ["Split", "ByteLevel"]
+        self.table = ChunkTable(PieceCache(self._new), "<u4", lead=False)
 
     def _new(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return encoded_pieces(pieces, self._encode_word if self.direct else self._encode_all_of_one, self._encode_all)
 
-    def encode(self, text: str | None) -> bytes:
-        return self.cache.join(text) if text else b""
+    def _encode_all_of_one(self, piece: str) -> bytes:
+        return self._encode_all(piece, [len(piece)])[0]
+
+    def _encode_word(self, piece: str) -> bytes:
+        """Letters are one word of the pattern, so the library's model gets them directly, lower-cased and spelt."""
+        word = piece.lstrip(" ").lower()
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(self.spell.__getitem__, word.encode())))]).tobytes()
+
+    def _encode_all(self, text: str, ends: list[int]) -> list[bytes]:
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        ids = found.ids
+        if len(ends) == 1:
+            return cut_ids(ids, [len(ids)])
+        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+        return cut_ids(ids, np.searchsorted(starts, ends).tolist())
 
 
 def packed_ids(df: DataFrame, text: str, model_path: str, end_id: int, output: str = "packed") -> DataFrame:
@@ -117,22 +137,21 @@ def packed_ids(df: DataFrame, text: str, model_path: str, end_id: int, output: s
     description = read_bytes(model_path).decode()
     key = hashlib.sha256(description.encode()).hexdigest()
     sent = df.sparkSession.sparkContext.broadcast(description)  # a vocabulary's size
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     @F.arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
         encoder = once(("token_store", key), lambda: IdEncoder(sent.value))
         press = once("token_store press", lambda: zstandard.ZstdCompressor(level=1))
-        return pa.array([pack(encoder.encode(x.as_py()) + end, press) for x in texts], pa.binary())
+        return pa.array([pack(np.concatenate((ids, end)), press) for ids in encoder.table.each(texts)], pa.binary())
 
     return df.withColumn(output, run(F.col(text)))
 
 
-def pack(ids: bytes, press: zstandard.ZstdCompressor) -> bytes:
+def pack(ids: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
     """Two bytes an id where that is enough, compressed; the first byte says which."""
-    whole = np.frombuffer(ids, "<u4")
-    narrow = not len(whole) or whole.max() < 1 << 16
-    return (b"\x02" if narrow else b"\x04") + press.compress(whole.astype("<u2").tobytes() if narrow else ids)
+    narrow = not len(ids) or ids.max() < 1 << 16
+    return (b"\x02" if narrow else b"\x04") + press.compress(ids.astype("<u2" if narrow else "<u4").tobytes())
 
 
 def unpack(packed: bytes, press: zstandard.ZstdDecompressor) -> np.ndarray:
