@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_table, unpacked
-from .shared import WHITE, PieceCache, once, read_bytes
+from .shared import WHITE, WORD_PIECE, ChunkTable, PieceCache, once, read_bytes
 
 TYPES = {"n_tokens": ("bigint", pa.int64()), "prefix_deltas": ("binary", pa.binary())}
-#: Solved prefixes and token pairs that a worker remembers at most.
+NEVER = 1 << 30
+#: Solved prefixes that a worker remembers at most.
 REMEMBERED = 400_000
 
 
@@ -45,6 +46,8 @@ class PrefixCounter:
             raise ValueError("prefix counts need a BPE model with an end-of-word mark over lower-cased words")
         self.mark, self.vocab = model["end_of_word_suffix"], {*model["vocab"]}
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+        self.parts = {a + b: (a, b, i) for (a, b), i in self.rank.items()}
+        self.edges: dict[tuple[str, int], list[tuple[str, int]] | None] = {}
         self.longest = max(len(t.removesuffix(self.mark)) for t in self.vocab)
         if self.longest > 100:
             raise ValueError("a token of over 100 bytes could change a count by more than a signed byte holds")
@@ -52,42 +55,83 @@ class PrefixCounter:
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.spell, self.white = byte_table(), regex.compile(f"[{WHITE}]*")
-        self.state: dict[str, tuple[str, int]] = {"": ("", 0)}
-        self.ended: dict[str, int] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.cache = PieceCache(lambda pieces: [self.deltas_of(p).tobytes() for p in pieces])
+        self._new_root()
+        pieces = PieceCache(lambda pieces: [self._word_piece(p) if WORD_PIECE.fullmatch(p) else self.deltas_of(p).tobytes() for p in pieces])
+        self.tables = ChunkTable(pieces, "i1", lead=False, blank=b"\x00")
 
     # -- one word, spelt in the library's characters
 
     def _merged(self, symbols: list[str]) -> list[str]:
         while len(symbols) > 1:
-            best, at = min((self.rank.get(p, 1 << 30), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if best == 1 << 30:
+            best, at = min((self.rank.get(p, NEVER), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+            if best == NEVER:
                 break
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
+    def _edge(self, token: str, side: int) -> list[tuple[str, int]] | None:
+        """What stands at the token's right (1) or left (0) edge while it is merged, each with the rank that ends it.
+
+        None if the token isn't its own encoding.
+        """
+        key = (token, side)
+        if key not in self.edges:
+            start = [*token[: -len(self.mark) - 1], token[-len(self.mark) - 1 :]] if token.endswith(self.mark) else [*token]
+            found, part = [], token
+            if self._merged(start) != [token]:
+                found = None
+            else:
+                while part in self.parts:
+                    *pair, rank = self.parts[part]
+                    part = pair[side]
+                    found.append((part, rank))
+                found = [*found[::-1], (token, NEVER)]
+            self.edges[key] = found
+        return self.edges[key]
+
     def _fit(self, before: str, token: str) -> bool:
-        """Whether ``before`` and ``token`` are the encoding of their concatenation; with nothing before, whether ``token`` is its own."""
-        found = self.fits.get((before, token))
-        if found is None:
-            if len(self.fits) > REMEMBERED:
-                self.fits.clear()
-            text = before + token
-            symbols = [*text[: -len(self.mark) - 1], text[-len(self.mark) - 1 :]] if token.endswith(self.mark) else [*text]
-            found = self.fits[before, token] = self._merged(symbols) == ([before, token] if before else [token])
-        return found
-
-    def _last(self, spelt: str, end: int, before, mark: str = "") -> tuple[str, int]:
-        """Last token and count of ``spelt[:end]``, marked or not; ``before(i)`` has them of ``spelt[:i]``, unmarked."""
-        for i in range(max(0, end - self.longest), end):
+        """Whether ``before`` and ``token`` are the encoding of their concatenation; with nothing before, whether ``token`` is its own.
+
+        They are unless, while both are merged, what stands on either side of the border merges first. Merges of one
+        rank go from left to right.
+        """
+        a, b = self._edge(before, 1) if before else [("", NEVER)], self._edge(token, 0)
+        if a is None or b is None:
+            return False
+        i = j = 0
+        while True:
+            (left, left_ends), (right, right_ends) = a[i], b[j]
+            across = self.rank.get((left, right), NEVER)
+            if across < left_ends and across <= right_ends and across < NEVER:
+                return False
+            if left_ends == right_ends == NEVER:
+                return True
+            if left_ends <= right_ends:
+                i += 1
+            else:
+                j += 1
+
+    def _last(self, spelt: str, end: int, nodes: list[list], mark: str) -> tuple[str, int]:
+        """Last token and count of ``spelt[:end]``, marked or not, from the nodes of its shorter prefixes."""
+        vocab = self.vocab
+        for i in range(end - self.longest if end > self.longest else 0, end):
             token = spelt[i:end] + mark
-            if token in self.vocab:
-                last, count = before(i)
-                if self._fit(last, token):
+            if token in vocab:
+                _, last, count, _, fits = nodes[i]
+                fit = fits.get(token)
+                if fit is None:
+                    if len(fits) > 20_000:
+                        fits.clear()
+                    fit = fits[token] = self._fit(last, token)
+                if fit:
                     return token, count + 1
         raise ValueError(f"no token ends {spelt[:end]!r}")
 
+    def _new_root(self) -> None:
+        """A node has the next nodes by character, last token and count of its prefix unmarked, its count marked, and what fits after the last token."""
+        self.fits: dict[str, dict[str, bool]] = {"": {}}
+        self.root, self.nodes = [{}, "", 0, None, self.fits[""]], 0
+
     def word_counts(self, word: str) -> list[int]:
         """The count of each prefix, by characters, of a normalized word."""
         if word.isascii() and word.isprintable():
@@ -95,28 +139,41 @@ class PrefixCounter:
         else:
             raw = [c.encode("utf-8", "surrogatepass") for c in word]
             spelt, ends = "".join(self.spell[b] for c in raw for b in c), np.cumsum([len(c) for c in raw]).tolist()
-        if len(spelt) > 64:  # too long to be met again: nothing of it is remembered
-            solved = [("", 0)]
-            for e in range(1, len(spelt) + 1):
-                solved.append(self._last(spelt, e, solved.__getitem__))
-            return [self._last(spelt, e, solved.__getitem__, self.mark)[1] for e in ends]
-        if len(self.state) + len(self.ended) > REMEMBERED:
-            self.state, self.ended = {"": ("", 0)}, {}
-        state, ended = self.state, self.ended
-        before = lambda i: state[spelt[:i]]
-        known = len(spelt) - 1
-        while spelt[:known] not in state:
-            known -= 1
-        for e in range(known + 1, len(spelt)):
-            state[spelt[:e]] = self._last(spelt, e, before)
+        if self.nodes > REMEMBERED:
+            self._new_root()
+        node, nodes = self.root, [self.root]
+        keep = len(spelt) <= 64  # longer ones are not met again: nothing of them is remembered
+        for c in spelt:
+            after = node[0].get(c)
+            if after is None:
+                after = [{}, None, 0, None, None]
+                if keep:
+                    node[0][c] = after
+                    self.nodes += 1
+            nodes.append(after)
+            node = after
+        for e in range(1, len(spelt)):
+            node = nodes[e]
+            if node[1] is None:
+                node[1], node[2] = self._last(spelt, e, nodes, "")
+                node[4] = self.fits.get(node[1])
+                if node[4] is None:
+                    node[4] = self.fits[node[1]] = {}
         counts = []
         for e in ends:
-            prefix = spelt[:e]
-            if prefix not in ended:
-                ended[prefix] = self._last(spelt, e, before, self.mark)[1]
-            counts.append(ended[prefix])
+            node = nodes[e]
+            if node[3] is None:
+                node[3] = self._last(spelt, e, nodes, self.mark)[1]
+            counts.append(node[3])
         return counts
 
+    def _word_deltas(self, word: str) -> bytes:
+        before, out = 0, []
+        for count in self.word_counts(word):
+            out.append(count - before & 0xFF)
+            before = count
+        return bytes(out)
+
     def _pretoken_counts(self, word: str) -> list[int]:
         """As word_counts, for a match of the pattern: what is not yet a contraction is an apostrophe and a letter."""
         counts = self.word_counts(word)
@@ -124,6 +181,13 @@ class PrefixCounter:
             counts[1] = self.word_counts("'")[0] + self.word_counts(word[1])[0]
         return counts
 
+    def _word_piece(self, piece: str) -> bytes:
+        """The deltas of one word after a blank or none; Latin letters are NFC, and but for one keep their number in lower case."""
+        word = piece.lstrip(" ").lower()
+        if len(word) != len(piece) - (piece[0] == " "):
+            return self.deltas_of(piece).tobytes()
+        return (b"\x00" if piece[0] == " " else b"") + self._word_deltas(word)
+
     # -- pieces and texts
 
     def _total(self, normal: str) -> int:
@@ -163,7 +227,7 @@ class PrefixCounter:
         return np.diff(np.array(counts, np.int64), prepend=0).astype(np.int8)
 
     def table(self, text: str | None) -> bytes:
-        return self.cache.join(text) if text else b""
+        return next(self.tables.each(pa.array([text], pa.string()))).tobytes()
 
 
 def counts_in(table: bytes) -> np.ndarray:
@@ -181,12 +245,11 @@ def with_prefix_counts(df: DataFrame, text: str = "text", *, model_path: str, ou
     def run(texts: pa.Array) -> pa.Array:
         counter = once(("prefix_counts", key), lambda: PrefixCounter(sent.value))
         columns: dict[str, list] = {n: [] for n in outputs}
-        for x in texts:
-            table = counter.table(x.as_py())
+        for table in counter.tables.each(texts):
             if "prefix_deltas" in columns:
-                columns["prefix_deltas"].append(table)
+                columns["prefix_deltas"].append(table.tobytes())
             if "n_tokens" in columns:
-                columns["n_tokens"].append(int(np.frombuffer(table, np.int8).sum(dtype=np.int64)))
+                columns["n_tokens"].append(int(table.sum(dtype=np.int64)))
         return pa.StructArray.from_arrays([pa.array(columns[n], TYPES[n][1]) for n in outputs], names=list(outputs))
 
     return unpacked(df, run(F.col(text)), outputs)
