@@ -26,3 +26,21 @@ def labelled_sample(df: DataFrame, *, label: str, text: str, per_class: int, cha
     rank = F.row_number().over(Window.partitionBy("label", "_salt").orderBy("_h"))
     picked = rows.withColumn("_rank", rank).where(F.col("_rank") <= share).select("label", "text", "_h").collect()
     return sorted(picked, key=lambda r: (str(r["label"]), r["_h"]))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, *, label: str, key: str = "doc_id", text: str = "text", per_class: int, chars: int, seed: int = 11) -> list[Row]:
+    """As ``labelled_sample`` for labels in a table of their own (``key``, ``label`` 0 or 1): (label, text).
+
+    The rows are chosen from the labels alone, so that of the documents only the chosen ones move.
+    """
+    share = -(-per_class // SALTS)
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).withColumn("_h", F.xxhash64(F.lit(seed), "_key"))
+    rank = F.row_number().over(Window.partitionBy("label", F.pmod("_h", F.lit(SALTS))).orderBy(F.xxhash64("_h"), "_key"))
+    picked = rows.withColumn("_rank", rank).where(F.col("_rank") <= share).select("_key", "label", "_h")  # per_class + SALTS rows a label at most
+    found = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.substring(text, 1, chars).alias("text")).join(F.broadcast(picked), "_key")
+    got = found.groupBy("_key").agg(F.min(F.struct("label", "text", "_h")).alias("x")).select("x.*").collect()
+    return sorted(got, key=lambda r: (r["label"], r["_h"]))
+
+
+def label_counts(labels: DataFrame, label: str) -> dict[int, int]:
+    return {int(r["label"]): r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(F.col(label).alias("label")).count().collect()}

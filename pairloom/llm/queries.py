@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fair_mix, langid, prefix_counts, token_store
+from . import byte_bpe, fair_mix, langid, prefix_counts, token_store, toxicity
 from .learning import remainder
 from .shared import fresh_path, vocabulary
 
@@ -14,6 +14,20 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def scores(docs: DataFrame, modulus: int, rest: int, cut: float) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(remainder("doc_id", modulus) == rest, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = toxicity.fit(docs, labels_of(spark, sf_dir).where(remainder("doc_id", 3) != 1))
+    return scores(toxicity.scored(docs, model), 3, 1, 0.7)
+
+
 def op4_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_counts.with_prefix_counts(documents(spark, sf_dir, "doc_id", "text"), model_path=vocabulary("word_bpe_49k.json"), outputs=("n_tokens",))
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -43,6 +57,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_prefix_counts": op4_prefix_counts,
     "op6_token_store": op6_token_store,
     "op7_fair_mix": op7_fair_mix,
