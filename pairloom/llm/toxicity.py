@@ -105,7 +105,7 @@ def features(gains: np.ndarray) -> list[float]:
     return [min(30.0, float(top.max())), min(30.0, float(top.mean())), float(np.maximum(gains, 0).mean()), *map(math.log1p, counts), *(math.log((c + 0.3) / (n + 3)) for c in counts), math.log(n)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1600, chars: int = 8000, ordinary_chars: int = 24_000, toxic_chars: int = 8000, surprise: float = 7.0) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1600, chars: int = 8000, ordinary_chars: int = 24_000, toxic_chars: int = 8000, surprise: float = 5.0) -> Toxicity:
     """Learns from at most ``per_class`` rows of each label (1: toxic), ``chars`` characters of each."""
     counts = label_counts(labels, label)
     rows = labelled_texts(docs, labels, label=label, key=key, text=text, per_class=per_class, chars=chars)
