@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fair_mix, langid, prefix_counts, token_store, toxicity
+from . import byte_bpe, byte_cnn, fair_mix, langid, prefix_counts, token_store, toxicity
 from .learning import remainder
 from .shared import fresh_path, vocabulary
 
@@ -42,6 +42,12 @@ def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.schedule(documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    net = byte_cnn.fit(docs, labels_of(spark, sf_dir).where(remainder("doc_id", 5) != 0))
+    return scores(byte_cnn.scored(docs, net), 5, 0, 0.3)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op4_prefix_counts": op4_prefix_counts,
     "op6_token_store": op6_token_store,
     "op7_fair_mix": op7_fair_mix,
+    "op8_byte_cnn": op8_byte_cnn,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_langid": op10_langid,
 }
