@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, byte_cnn, fair_mix, langid, prefix_counts, token_store, toxicity
+from . import bitsliced, byte_bpe, byte_cnn, fair_mix, langid, prefix_counts, token_store, toxicity
 from .learning import remainder
 from .shared import fresh_path, vocabulary
 
@@ -28,6 +28,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(toxicity.scored(docs, model), 3, 1, 0.7)
 
 
+def op3_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    index, blocks = bitsliced.build_index(vectors)
+    return bitsliced.search(index, blocks, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS ints
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.ints, c.ints) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.ints) = len(c.ints)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op4_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_counts.with_prefix_counts(documents(spark, sf_dir, "doc_id", "text"), model_path=vocabulary("word_bpe_49k.json"), outputs=("n_tokens",))
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -64,6 +84,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_bitsliced": op3_bitsliced,
     "op4_prefix_counts": op4_prefix_counts,
     "op6_token_store": op6_token_store,
     "op7_fair_mix": op7_fair_mix,
@@ -72,4 +93,6 @@ QUERIES = {
     "op10_langid": op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_bitsliced": OP3_SQL,
+}
