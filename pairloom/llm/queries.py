@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, byte_bpe, byte_cnn, fair_mix, langid, prefix_counts, token_store, toxicity
+from . import bitsliced, byte_bpe, byte_cnn, fair_mix, langid, pq_dedup, prefix_counts, token_store, toxicity
 from .learning import remainder
 from .shared import fresh_path, vocabulary
 
@@ -53,6 +53,23 @@ def op4_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op5_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.95)
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.n)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, c.m AS component_id, e.vec_id = c.m AS kept
+FROM embeddings AS e JOIN (SELECT n, min(m) AS m FROM r GROUP BY n) AS c ON c.n = e.vec_id
+"""
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write(documents(spark, sf_dir, "doc_id", "text"), fresh_path(spark, "token-store"), model_path=vocabulary("word_bpe_49k.json"))
     return token_store.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -86,6 +103,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_bitsliced": op3_bitsliced,
     "op4_prefix_counts": op4_prefix_counts,
+    "op5_pq_dedup": op5_pq_dedup,
     "op6_token_store": op6_token_store,
     "op7_fair_mix": op7_fair_mix,
     "op8_byte_cnn": op8_byte_cnn,
@@ -95,4 +113,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_bitsliced": OP3_SQL,
+    "op5_pq_dedup": OP5_SQL,
 }
