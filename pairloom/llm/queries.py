@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, byte_bpe, byte_cnn, fair_mix, langid, pq_dedup, prefix_counts, token_store, toxicity
+from . import bitsliced, byte_bpe, byte_cnn, fair_mix, jaccard_join, langid, pq_dedup, prefix_counts, token_store, toxicity
 from .learning import remainder
 from .shared import fresh_path, vocabulary
 
@@ -28,6 +28,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(toxicity.scored(docs, model), 3, 1, 0.7)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir, "doc_id", "text"), k=3, percent=90)
+
+
 def op3_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     index, blocks = bitsliced.build_index(vectors)
@@ -101,6 +105,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_bitsliced": op3_bitsliced,
     "op4_prefix_counts": op4_prefix_counts,
     "op5_pq_dedup": op5_pq_dedup,
