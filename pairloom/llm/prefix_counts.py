@@ -31,7 +31,7 @@ from .shared import WHITE, WORD_PIECE, ChunkTable, PieceCache, once, read_bytes
 TYPES = {"n_tokens": ("bigint", pa.int64()), "prefix_deltas": ("binary", pa.binary())}
 NEVER = 1 << 30
 #: Solved prefixes that a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 class PrefixCounter:
@@ -47,6 +47,11 @@ class PrefixCounter:
         self.mark, self.vocab = model["end_of_word_suffix"], {*model["vocab"]}
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
         self.parts = {a + b: (a, b, i) for (a, b), i in self.rank.items()}
+        self.reach: dict[str, dict[str, int]] = {"": {}, self.mark: {}}  # length of the longest token by its last three characters
+        for t in self.vocab:
+            bare = t.removesuffix(self.mark)
+            own = self.reach[t[len(bare) :]]
+            own[bare[-3:]] = max(own.get(bare[-3:], 0), len(bare))
         self.edges: dict[tuple[str, int], list[tuple[str, int]] | None] = {}
         self.longest = max(len(t.removesuffix(self.mark)) for t in self.vocab)
         if self.longest > 100:
@@ -114,23 +119,24 @@ class PrefixCounter:
     def _last(self, spelt: str, end: int, nodes: list[list], mark: str) -> tuple[str, int]:
         """Last token and count of ``spelt[:end]``, marked or not, from the nodes of its shorter prefixes."""
         vocab = self.vocab
-        for i in range(end - self.longest if end > self.longest else 0, end):
+        for i in range(max(0, end - self.reach[mark].get(spelt[max(0, end - 3) : end], 2)), end):
             token = spelt[i:end] + mark
             if token in vocab:
-                _, last, count, _, fits = nodes[i]
+                node = nodes[i]
+                fits = node[4]
                 fit = fits.get(token)
                 if fit is None:
                     if len(fits) > 20_000:
                         fits.clear()
-                    fit = fits[token] = self._fit(last, token)
+                    fit = fits[token] = self._fit(node[1], token)
                 if fit:
-                    return token, count + 1
+                    return token, node[2] + 1
         raise ValueError(f"no token ends {spelt[:end]!r}")
 
     def _new_root(self) -> None:
         """A node has the next nodes by character, last token and count of its prefix unmarked, its count marked, and what fits after the last token."""
         self.fits: dict[str, dict[str, bool]] = {"": {}}
-        self.root, self.nodes = [{}, "", 0, None, self.fits[""]], 0
+        self.root, self.nodes = [None, "", 0, None, self.fits[""]], 0
 
     def word_counts(self, word: str) -> list[int]:
         """The count of each prefix, by characters, of a normalized word."""
@@ -143,22 +149,32 @@ class PrefixCounter:
             self._new_root()
         node, nodes = self.root, [self.root]
         keep = len(spelt) <= 64  # longer ones are not met again: nothing of them is remembered
+        known = 0
         for c in spelt:
-            after = node[0].get(c)
+            after = node[0].get(c) if node[0] else None
             if after is None:
-                after = [{}, None, 0, None, None]
-                if keep:
+                break
+            nodes.append(after)
+            node = after
+            known += 1
+        for c in spelt[known:]:
+            after = [None, None, 0, None, None]
+            if keep:
+                if node[0] is None:
+                    node[0] = {c: after}
+                else:
                     node[0][c] = after
-                    self.nodes += 1
+                self.nodes += 1
             nodes.append(after)
             node = after
-        for e in range(1, len(spelt)):
+        for e in range(max(1, known), len(spelt)):  # the last one known need not be solved, those before it are
             node = nodes[e]
             if node[1] is None:
                 node[1], node[2] = self._last(spelt, e, nodes, "")
-                node[4] = self.fits.get(node[1])
-                if node[4] is None:
-                    node[4] = self.fits[node[1]] = {}
+                fits = self.fits.get(node[1])
+                if fits is None:
+                    fits = self.fits[node[1]] = {}
+                node[4] = fits
         counts = []
         for e in ends:
             node = nodes[e]

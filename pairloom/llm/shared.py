@@ -102,7 +102,7 @@ class PieceCache:
     of ``limit`` entries at most, so that its memory is bounded and common pieces stay.
     """
 
-    def __init__(self, encode, limit: int = 250_000, longest: int = 48):
+    def __init__(self, encode, limit: int = 500_000, longest: int = 48):
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.encode, self.limit, self.longest = encode, limit, longest
@@ -161,16 +161,18 @@ class ChunkTable:
         if len(self.known) + len(chunks) > self.limit:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
-        new = [x for x in chunks if x not in known]
-        known.update([(x, before[x]) for x in new if x in before])
-        fresh = [x for x in new if x not in before]
-        for at in range(0, len(fresh), 20_000):
-            own = fresh[at : at + 20_000]
-            known.update(zip(own, self.pieces.join_each(own), strict=True))
-        out = [known[x] for x in chunks]
-        for x in new:
-            if len(x) > 48:
-                known.pop(x, None)
+        out = [*map(known.get, chunks)]
+        new = [i for i, x in enumerate(out) if x is None]
+        fresh = []
+        for i in new:
+            out[i] = before.get(chunks[i])
+            if out[i] is None:
+                fresh.append(i)
+        for at in range(0, len(fresh), 50_000):
+            own = fresh[at : at + 50_000]
+            for i, x in zip(own, self.pieces.join_each([chunks[i] for i in own]), strict=True):
+                out[i] = x
+        known.update([(chunks[i], out[i]) for i in new if len(chunks[i]) <= 48])
         return out
 
     def _slice(self, texts: pa.Array) -> list[np.ndarray]:
@@ -192,8 +194,9 @@ class ChunkTable:
         pool, starts = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
         own = sizes[at]
         item_ends = np.cumsum(own)
-        where = np.repeat(starts[at] - (item_ends - own), own)
-        where += np.arange(len(where))
+        small = np.int32 if max(item_ends[-1], len(pool)) < 1 << 31 else np.int64
+        where = np.repeat((starts[at] - (item_ends - own)).astype(small), own)
+        where += np.arange(len(where), dtype=small)
         items, cuts = pool[where], item_ends[ends - 1]
         drop = len(self.blank) // self.dtype.itemsize
         return [items[a : b - drop] for a, b in zip(np.concatenate(([0], cuts[:-1])), cuts, strict=True)]
