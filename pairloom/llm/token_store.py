@@ -7,9 +7,9 @@ ones stand before them. So the chunk of any token is found from its position by
 is decoded. Segments are rows with raw binary columns in uncompressed Parquet files, because that reaches any file
 system that Spark does.
 
-Documents are encoded where they lie; only packed ids are shuffled, by ranges of doc_id, and each partition writes its
-segments in order. What stands before a segment in its partition is part of the row; what stands before a partition
-is the table ``parts``, which has one row for each partition.
+Documents are encoded where they lie; only packed ids are shuffled, by ranges of doc_id, and each range writes its
+segments in order. What stands before a segment in its range is part of the row; what stands before a range is the
+table ``parts``, which has one row for each range.
 
 A null text is empty; every document ends with the end id. A null doc_id stands before all others. Rows with equal
 doc_id are all written, in the order of their ids' bytes. An empty table gives an empty store.
@@ -132,20 +132,22 @@ class IdEncoder:
         return cut_ids(ids, np.searchsorted(starts, ends).tolist())
 
 
-def packed_ids(df: DataFrame, text: str, model_path: str, end_id: int, output: str = "packed") -> DataFrame:
-    """``df`` with the ids of its text and the end id, packed for the shuffle."""
+def packed_ids(df: DataFrame, model_path: str, end_id: int, bounds: list[int]) -> DataFrame:
+    """``df`` (doc_id, text) as part (how many bounds lie below doc_id; 0 for null), doc_id and packed ids with the end id."""
     description = read_bytes(model_path).decode()
     key = hashlib.sha256(description.encode()).hexdigest()
-    sent = df.sparkSession.sparkContext.broadcast(description)  # a vocabulary's size
+    sent = df.sparkSession.sparkContext.broadcast((description, np.array(bounds, np.int64)))  # a vocabulary's size, and a number for each part
     end = np.array([end_id], "<u4")
 
-    @F.arrow_udf("binary")
-    def run(texts: pa.Array) -> pa.Array:
-        encoder = once(("token_store", key), lambda: IdEncoder(sent.value))
+    @F.arrow_udf("struct<part: int, packed: binary>")
+    def run(names: pa.Array, texts: pa.Array) -> pa.Array:
+        encoder = once(("token_store", key), lambda: IdEncoder(sent.value[0]))
         press = once("token_store press", lambda: zstandard.ZstdCompressor(level=1))
-        return pa.array([pack(np.concatenate((ids, end)), press) for ids in encoder.table.each(texts)], pa.binary())
+        packed = [pack(np.concatenate((ids, end)), press) for ids in encoder.table.each(texts)]
+        parts = np.searchsorted(sent.value[1], names.fill_null(np.iinfo(np.int64).min).to_numpy()).astype(np.int32)
+        return pa.StructArray.from_arrays([pa.array(parts), pa.array(packed, pa.binary())], names=["part", "packed"])
 
-    return df.withColumn(output, run(F.col(text)))
+    return df.select("doc_id", run("doc_id", "text").alias("x")).select("x.part", "doc_id", "x.packed")
 
 
 def pack(ids: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
@@ -161,13 +163,15 @@ def unpack(packed: bytes, press: zstandard.ZstdDecompressor) -> np.ndarray:
 def write(df: DataFrame, path: str, *, model_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, segment_tokens: int = 1 << 20) -> str:
     """Writes the store of ``df`` to ``path`` and returns it. A segment ends with the document that fills it."""
     spark = df.sparkSession
-    docs = packed_ids(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "text", model_path, end_id).drop("text")
+    named = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the bounds come from doc_id alone: a range exchange would encode every text a first time to sample its keys
+    cuts = named.agg(F.percentile_approx("doc_id", [i / n_parts for i in range(1, n_parts)], 20 * n_parts)).first()[0] if n_parts > 1 else None
+    docs = packed_ids(named, model_path, end_id, sorted({*(cuts or [])}))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, press = TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
-        seg, before, held, names, size = 0, 0, [], [], 0
+        press = zstandard.ZstdDecompressor()
+        part, seg, before, held, names, size = -1, 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
             chunks, more, ranks = to_levels(np.concatenate(held))
@@ -177,7 +181,11 @@ def write(df: DataFrame, path: str, *, model_path: str, doc_id: str = "doc_id",
             return pa.RecordBatch.from_pylist([{"part": part, "seg": seg, "before": before, "doc_ids": ids, "null_ids": nulls, "doc_ends": ends, "n_docs": len(names), "n_tokens": size, "chunks": chunks, "more": more, "ranks": ranks}], ARROW)
 
         for batch in batches:
-            for name, packed in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), strict=True):
+            for own, name, packed in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("packed"), strict=True):
+                if own != part:
+                    if held:
+                        yield flush()
+                    part, seg, before, held, names, size = own, 0, 0, [], [], 0
                 ids = unpack(packed.as_py(), press)
                 held.append(ids)
                 names.append(name)
@@ -188,7 +196,7 @@ def write(df: DataFrame, path: str, *, model_path: str, doc_id: str = "doc_id",
         if held:
             yield flush()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "packed")
+    ordered = docs.repartition(n_parts, "part").sortWithinPartitions("part", "doc_id", "packed")
     ordered.mapInArrow(segments, SEGMENT).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(f"{path}/segments")
     sizes = spark.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # one row for each partition
     before, parts = 0, []
