@@ -162,6 +162,11 @@ def encoded(df: DataFrame, text: str | Column = "text", *, ranks_path: str, patt
     @F.arrow_udf("struct<" + ", ".join(f"{n}: {TYPES[n][0]}" for n in outputs) + ">")
     def run(texts: pa.Array) -> pa.Array:
         codec = once(("byte_bpe", key), lambda: ByteBpe(description.value))
+        if {*outputs} <= {"ids", "n_tokens"}:
+            rows = [*codec.table.each(texts)]
+            ends = np.cumsum([0, *map(len, rows)])
+            made = {"n_tokens": pa.array(np.diff(ends)), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate([np.zeros(0, "<u4"), *rows]).astype(np.int32))}
+            return pa.StructArray.from_arrays([made[n] for n in outputs], names=list(outputs))
         rows = [codec.outputs(ids, outputs) for ids in codec.table.each(texts)]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], TYPES[n][1]) for i, n in enumerate(outputs)], names=list(outputs))
 

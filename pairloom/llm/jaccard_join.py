@@ -327,6 +327,7 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int =
 
 
 def kept(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` of which their component keeps the smallest doc_id; of rows with that id and text, all."""
-    left = join(df, doc_id=doc_id, text=text, **options).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(left, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi").select(*df.columns)
+    """One row of each component, that of the smallest doc_id; rows with a null doc_id all stay, repeated rows once."""
+    left = join(df, doc_id=doc_id, text=text, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    named = df.join(left, F.col(doc_id) == F.col("_id"), "left_semi").dropDuplicates([doc_id, text])
+    return named.union(df.where(F.col(doc_id).isNull())).select(*df.columns)

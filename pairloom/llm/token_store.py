@@ -110,7 +110,7 @@ class IdEncoder:
         spec = json.loads(description)
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         self.direct = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in spec["pre_tokenizer"].get("pretokenizers", [])] == ["Split", "ByteLevel"]
-        self.table = ChunkTable(PieceCache(self._new), "<u4", lead=False)
+        self.table = ChunkTable(PieceCache(self._new), "<u4", lead=False, limit=60_000)
 
     def _new(self, pieces: list[str]) -> list[bytes]:
         return encoded_pieces(pieces, self._encode_word if self.direct else self._encode_all_of_one, self._encode_all)
