@@ -38,7 +38,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a Jaccard similarity of 0.8 or more over five-word shingles, the one with the smallest id."""
-    return jaccard_join.kept(docs, k=5, percent=80)
+    return jaccard_join.kept(docs, k=5, percent=80, file_keys=False)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from .shared import written
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: bigint) -> (node, component): the smallest node reachable, for nodes with an edge to another."""
-    state = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -11,8 +11,9 @@ an odd number; two sketches differ in at most as many bits as the sets in elemen
 not written out: a key yields a spanning forest of what is left, and the trees' components are the groups of the exact
 join. There the fragments' overlaps are counted one after another by products of incidence matrices and summed per
 pair; a group yields the number of links of each set and a spanning forest again. Keys and groups with many sets
-are dealt over blocks, and block meets block in tasks of their own. Equal sets are one set with several documents
-throughout. Nothing is capped and no link is lost.
+are dealt over blocks, and block meets block in tasks of their own. Equal sets are one node with several documents
+throughout; nodes are 64-bit hashes of sets, as elements are of shingles (two of a billion different sets would
+share one with a chance of about 3 in 100). Nothing is capped and no link is lost.
 
 Documents without words, empty or null have an empty set and are linked with nothing. With fewer words than a
 shingle has, the whole sequence is one shingle. Rows with equal doc_id count as one node; rows with a null doc_id have
@@ -117,8 +118,8 @@ class Rule:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """Parities of the bins of the set's elements; at least two bins for each, a power of two in number."""
-    bins = max(64, 1 << (2 * len(own) - 1).bit_length())
+    """Parities of the bins of the set's elements; at least one bin for each, a power of two in number."""
+    bins = max(64, 1 << (len(own) - 1).bit_length())
     at = (finished(own ^ MIX[2]) & np.uint64(bins - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bins).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -264,9 +265,9 @@ def grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_sets(df: DataFrame, *, text: str, k: int, rule: Rule, outputs: tuple[str, ...]) -> DataFrame:
-    """``df`` with n_shingles and, as asked for, sig (128 bits that tell sets apart), keys, sketch and elements."""
-    types = {"n_shingles": ("bigint", pa.int64()), "sig": ("binary", pa.binary()), "keys": ("array<bigint>", pa.list_(pa.int64())), "sketch": ("binary", pa.binary()), "elements": ("binary", pa.binary())}
-    make = {"n_shingles": len, "sig": lambda s: hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "keys": rule.keys, "sketch": sketch, "elements": lambda s: s.tobytes()}
+    """``df`` with n_shingles and, as asked for, node (a 64-bit hash of the set, which stands for it), keys, sketch and elements."""
+    types = {"n_shingles": ("bigint", pa.int64()), "node": ("bigint", pa.int64()), "keys": ("array<bigint>", pa.list_(pa.int64())), "sketch": ("binary", pa.binary()), "elements": ("binary", pa.binary())}
+    make = {"n_shingles": len, "node": lambda s: int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True), "keys": rule.keys, "sketch": sketch, "elements": lambda s: s.tobytes()}
 
     @F.arrow_udf("struct<" + ", ".join(f"{n}: {types[n][0]}" for n in outputs) + ">")
     def run(texts: pa.Array) -> pa.Array:
@@ -279,19 +280,26 @@ def with_sets(df: DataFrame, *, text: str, k: int, rule: Rule, outputs: tuple[st
     return unpacked(df, run(F.col(text)), outputs)
 
 
-def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, key_block: int = 8192, group_block: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links for every row."""
+def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, key_block: int = 8192, group_block: int = 1024, file_keys: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links for every row.
+
+    ``file_keys`` writes the keys beside the sets' sizes and sketches; without it they are made from the texts again,
+    which takes less disk and more time.
+    """
     rule = Rule(percent)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    filed = written(with_sets(docs, text="text", k=k, rule=rule, outputs=("n_shingles", "sig", "keys", "sketch")).drop("text"), "sets")
-    nodes = filed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = nodes.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"))
-    own = nodes.join(reps.select(F.col("sig").alias("_sig"), "rep"), (F.col("sig") == F.col("_sig")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["sig"])
+    own = ("n_shingles", "node", "sketch") + (("keys",) if file_keys else ())
+    filed = written(with_sets(docs, text="text", k=k, rule=rule, outputs=own).drop("text"), "sets")
+    counted = filed.where("doc_id IS NOT NULL AND n_shingles > 0")
+    nodes = counted.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"))
 
+    keyed = filed if file_keys else with_sets(docs, text="text", k=k, rule=rule, outputs=("node", "keys"))
+    exploded = keyed.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), F.col("node").alias("rep"))
     whole = Window.partitionBy("key")
-    exploded = own.select(F.explode("keys").alias("key"), "rep")
-    several = exploded.withColumns({"_least": F.min("rep").over(whole), "_most": F.max("rep").over(whole), "count": F.count("*").over(whole)}).where("_least < _most").drop("_least", "_most")
-    candidates = in_blocks(several, "key", "count", key_block).join(own.select("rep", F.col("n_shingles").alias("size"), "sketch"), "rep")
+    several = exploded.withColumns({"_least": F.min("rep").over(whole), "_most": F.max("rep").over(whole)}).where("_least < _most").select("key", "rep").distinct()
+    several = several.join(several.groupBy("key").agg(F.count("*").alias("count")), "key")
+    sketches = counted.groupBy(F.col("node").alias("rep")).agg(F.min(F.struct(F.col("n_shingles").alias("size"), "sketch")).alias("x")).select("rep", "x.*")
+    candidates = in_blocks(several, "key", "count", key_block).join(sketches, "rep")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["key", "i", "j"]):
@@ -303,14 +311,17 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int =
 
     trees = grouped(candidates, ["key", "i", "j"]).mapInArrow(sift, FOUND)
     groups = components(trees.select(F.col("rep").alias("a"), F.col("toward").alias("b")))
-    groups = groups.select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    groups = groups.select(F.col("node").alias("_node"), F.col("component").alias("group"))
     counts = groups.groupBy("group").agg(F.count("*").alias("count"))
-    placed = groups.join(counts, "group").join(reps.select("rep", "many"), "rep")
-    texts = with_sets(placed.join(docs, F.col("rep") == F.col("doc_id")).drop("doc_id"), text="text", k=k, rule=rule, outputs=("sig", "elements")).drop("text").dropDuplicates(["rep", "sig"]).drop("sig")
+    placed = groups.join(counts, "group").join(nodes, F.col("node") == F.col("_node")).select("group", "count", "many", "rep", "_node")
+    texts = placed.join(docs, F.col("rep") == F.col("doc_id")).drop("doc_id", "rep")
+    texts = with_sets(texts, text="text", k=k, rule=rule, outputs=("node", "elements")).drop("text").where("node = _node").drop("_node").withColumnRenamed("node", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["group", "i", "j"]):
-            ids, sets = t.column("rep").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
+            ids, first = np.unique(t.column("rep").to_numpy(), return_index=True)  # repeated rows have one id
+            t = t.take(pa.array(first))
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
             with without_gc():
                 links, edges = linked(ids, t.column("many").to_numpy(), sets, t.column("side").to_numpy(), rule)
             has = links > 0
@@ -318,11 +329,12 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int =
                 yield as_found(ids[has], links[has], edges)
 
     found = written(grouped(in_blocks(texts, "group", "count", group_block), ["group", "i", "j"]).mapInArrow(compare, FOUND), "links")
-    parts = components(found.select(F.col("rep").alias("a"), F.col("toward").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    known = known.select(F.col("sig").alias("_sig"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("_links"), F.coalesce("component", "rep").alias("_component"))
-    out = filed.select("doc_id", "n_shingles", "sig").join(known, F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("sig")) == F.col("_sig"), "left")
+    parts = components(found.select(F.col("rep").alias("a"), F.col("toward").alias("b"))).select(F.col("node").alias("_node"), F.col("component").alias("_part"))
+    links = found.groupBy(F.col("rep").alias("_rep")).agg(F.sum("links").alias("links"))
+    known = nodes.join(links, F.col("node") == F.col("_rep"), "left").join(parts, F.col("node") == F.col("_node"), "left").withColumn("_part", F.coalesce("_part", "node"))
+    least = known.groupBy("_part").agg(F.min("rep").alias("_component")).withColumnRenamed("_part", "_of")
+    known = known.join(least, F.col("_part") == F.col("_of")).select(F.col("node").alias("_known"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("_links"), "_component")
+    out = filed.select("doc_id", "n_shingles", "node").join(known, F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")) == F.col("_known"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"), F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 

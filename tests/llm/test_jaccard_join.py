@@ -58,7 +58,7 @@ def test_against_brute_force(spark, k, percent, blocks):
     rows = [*enumerate(texts(k, 400), 10)]
     rows += [(5000 + i, rows[30 + i % 3][1]) for i in range(40)]
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, n_shingles string").repartition(5)
-    got = jaccard_join.join(df, k=k, percent=percent, key_block=blocks[0], group_block=blocks[1]).collect()
+    got = jaccard_join.join(df, k=k, percent=percent, key_block=blocks[0], group_block=blocks[1], file_keys=k != 5).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == by_hand(rows, k, percent)
 
 
