@@ -26,9 +26,10 @@ def feature_text(title: Column, body: Column) -> Column:
 
 
 def char_grams(text: Column, n: int) -> Column:
-    """Distinct runs of ``n`` characters; none if the text is shorter."""
+    """Distinct runs of ``n`` characters; none if the text is shorter. The text is split once, so places cost the same."""
     none = F.array().cast("array<string>")
-    return let(text, lambda t: F.when(F.length(t) < n, none).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: t.substr(i, F.lit(n))))))
+    run = lambda c, i: F.concat(*[F.element_at(c, i + k) for k in range(n)])
+    return let(F.split(text, ""), lambda c: F.when(F.length(text) < n, none).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: run(c, i)))))
 
 
 def words(text: Column) -> Column:

@@ -10,14 +10,15 @@ import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfc(texts: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def edit_mass(a: pa.Array, b: pa.Array) -> pa.Array:
     """Characters that difflib's opcodes (with its default heuristics) insert, delete or replace: the larger span of each."""
     out = []
@@ -27,7 +28,7 @@ def edit_mass(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-HULL = "array<struct<a_start: int, a_end: int, b_start: int, b_end: int>>"
+HULL = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("a_start", "a_end", "b_start", "b_end")]))
 
 
 def hulls_of(x: str, y: str, gap: int) -> list[dict]:
@@ -52,7 +53,7 @@ def edit_hulls(a: pa.Array, b: pa.Array) -> pa.Array:
 DATE_LIKE = re.compile(r"\d{1,4}[-./:]\d{1,2}([-./:]\d{1,4})?")
 
 
-@F.arrow_udf("struct<razor: int, envelope: int, other: int>")
+@F.arrow_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("razor", "envelope", "other")]))
 def token_edits(a: pa.Array, b: pa.Array, markers: pa.Array) -> pa.Array:
     """How many differing token spans change facts, lie within four tokens of an envelope marker, or are others."""
     out = []
@@ -78,30 +79,30 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def canonical_json(rows: pa.Array) -> pa.Array:
     """Sorted keys, no blanks, nulls kept, Python's spelling of doubles."""
     return pa.array([None if r is None else canonical(r) for r in rows.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def canonical_sha256(rows: pa.Array) -> pa.Array:
     return pa.array([None if r is None else hashlib.sha256(canonical(r).encode()).hexdigest() for r in rows.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def blake2b_256(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else hashlib.blake2b(t.encode(), digest_size=32).hexdigest() for t in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def digit_cipher(texts: pa.Array) -> pa.Array:
     """Digits inside spans of digits change and keep their number: 0 becomes 7, others 0."""
     table = {ord(c): "7" if c == "0" else "0" for c in "0123456789"}
     return pa.array([None if t is None else t.translate(table) for t in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def cut_by_units(texts: pa.Array, tokens: pa.Array) -> pa.Array:
     """Whole paragraphs, then whole lines, as long as the count of words and marks stays within ``tokens``."""
     count = lambda s: len(re.findall(r"\w+|[^\w\s]", s))

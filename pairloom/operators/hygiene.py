@@ -84,7 +84,7 @@ def quality(violations: DataFrame, records: DataFrame, penalties: dict[str, int]
     w = F.coalesce(weight[F.col("code")], F.raise_error(F.concat(F.lit("unknown violation "), F.col("code"))).cast("int"))
     sums = violations.groupBy("id").agg(F.sum(w).alias("penalty"))
     rows = records.select("id", "in_scope").join(sums, "id", "left").withColumn("penalty", F.when(F.col("in_scope"), F.coalesce("penalty", F.lit(0)).cast("bigint")))
-    return rows.withColumn("score", F.greatest(F.lit(0), 100 - F.col("penalty")) / 100)
+    return rows.withColumn("score", F.when(F.col("penalty").isNotNull(), F.greatest(F.lit(0), 100 - F.col("penalty")) / 100))
 
 
 def quality_summary(scored: DataFrame) -> DataFrame:
