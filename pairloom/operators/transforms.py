@@ -112,4 +112,4 @@ def clean_translation(text: Column) -> Column:
     """Without fences, an echoed label and wrapping quotes."""
     t = F.regexp_replace(F.trim(text), r"(?s)^```[a-z]*\n?|```$", "")
     t = F.regexp_replace(F.trim(t), r"(?i)^(translation|translated text)\s*:\s*", "")
-    return F.regexp_replace(F.trim(t), '^"(.*)"$', "$1")
+    return F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), r'^"(.*)"$', "$1")
