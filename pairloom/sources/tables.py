@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,9 +98,6 @@ def append_log(df: DataFrame, path: str, key: str) -> int:
 
 def float_vector(blob: str | Column) -> Column:
     """Little-endian 32-bit floats of a binary column, as an array."""
-    import numpy as np
-    import pyarrow as pa
-
     @F.arrow_udf("array<float>")
     def run(blobs: pa.Array) -> pa.Array:
         return pa.array([None if b is None or len(b) % 4 else np.frombuffer(b, "<f4") for b in blobs.to_pylist()], pa.list_(pa.float32()))
@@ -106,10 +107,6 @@ def float_vector(blob: str | Column) -> Column:
 
 def strings_of_json(df: DataFrame, column: str, output: str = "value") -> DataFrame:
     """Every string in a nested JSON text, a row each."""
-    import json
-
-    import pyarrow as pa
-
     def walk(x):
         if isinstance(x, str):
             yield x
