@@ -756,9 +756,9 @@ def sample_completeness(s, d):
 # -- retrieval
 
 
-@query(with_(VEC, SIM, "sides AS (SELECT a AS id, raw FROM sim UNION ALL SELECT b, raw FROM sim)", "k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY raw DESC) AS rk FROM sides)") + "SELECT id, round(1 - avg(round(raw, 6)), 5) AS distance FROM k WHERE rk <= 5 GROUP BY id")
+@query(with_(VEC, SIM, "sides AS (SELECT a AS id, raw FROM sim UNION ALL SELECT b, raw FROM sim)", "k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY raw DESC) AS rk FROM sides)") + "SELECT id, round(1 - avg(round(raw, 6)), 6) AS distance FROM k WHERE rk <= 5 GROUP BY id")
 def knn_mean_distance(s, d):
-    return retrieval.knn_distance(vec(s, d)).withColumn("distance", F.round("distance", 5))
+    return retrieval.knn_distance(vec(s, d))
 
 
 @query(with_(VEC, SIM, "sides AS (SELECT a AS id, raw FROM sim UNION ALL SELECT b, raw FROM sim)") + "SELECT id, round(max(raw), 6) AS best FROM sides GROUP BY id")
