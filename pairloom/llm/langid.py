@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import unpacked
 from .learning import labelled_sample
-from .shared import once
+from .shared import once, small_batches
 
 OUTPUTS = ("lang_pred", "score", "margin", "rejected")
 
@@ -63,6 +63,7 @@ class Languages:
 
 def identified(df: DataFrame, dictionaries: list[tuple[str, bytes]], *, text: str = "text", level: int = 6, window: int = 4096, min_margin: float = 0.01) -> DataFrame:
     """``df`` with lang_pred, score (0.5 at a tie, to 1 as the byte margin grows), margin and rejected."""
+    small_batches(df.sparkSession)
     key = hashlib.sha256(repr((dictionaries, level, window)).encode()).hexdigest()
     sent = df.sparkSession.sparkContext.broadcast(dictionaries)  # dict_bytes a language
 

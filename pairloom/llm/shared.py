@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import re
+import threading
+import time
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -26,17 +29,49 @@ WORD_PIECE = re.compile(f" ?[{LATIN}]+")
 EDGE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 #: Words of the contracts on documents: runs without ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Python objects that a worker process builds once, by key.
+#: The Python object that a worker process has built last, by key, and when it was asked for.
 BUILT: dict = {}
+USED = [0.0]
+IDLE_S = 15
 
 
 def once(key, build):
-    """What ``build()`` returned at this worker's first call with ``key``."""
+    """What ``build()`` returned at this worker's first call with ``key``, as long as no other key was asked for.
+
+    Workers stay when their stage is over; one that isn't asked for some seconds lets its object and caches go.
+    """
     if key not in BUILT:
+        if not USED[0]:
+            pa.set_memory_pool(pa.system_memory_pool())  # its free memory can be given back
+            threading.Thread(target=_let_go, daemon=True).start()
+        BUILT.clear()
+        give_back()
         BUILT[key] = build()
+    USED[0] = time.monotonic()
     return BUILT[key]
 
 
+def _let_go() -> None:
+    while True:
+        time.sleep(IDLE_S / 3)
+        if BUILT and time.monotonic() - USED[0] > IDLE_S:
+            BUILT.clear()
+            give_back()
+
+
+def give_back() -> None:
+    """Returns the free memory of this process to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts are kept small, unless the session says otherwise: a worker holds several of them at once."""
+    for name, usual, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b")):
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, own)
+
+
 def vocabulary(name: str) -> str:
     """Place of a public vocabulary file; it is read on the driver and sent to the workers."""
     import public_tokenizers
@@ -102,7 +137,7 @@ class PieceCache:
     of ``limit`` entries at most, so that its memory is bounded and common pieces stay.
     """
 
-    def __init__(self, encode, limit: int = 500_000, longest: int = 48):
+    def __init__(self, encode, limit: int = 250_000, longest: int = 48):
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.encode, self.limit, self.longest = encode, limit, longest
@@ -144,61 +179,93 @@ class PieceCache:
         return out
 
 
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The items of each piece of the pool, one piece after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    small = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    where = np.repeat((starts - (ends - sizes)).astype(small), sizes)
+    where += np.arange(total, dtype=small)
+    return pool[where]
+
+
+class Known:
+    """A generation of the cache: keys as an Arrow array, and where in a pool the items of each are."""
+
+    def __init__(self, dtype: np.dtype):
+        self.keys = pa.array([], pa.large_string())
+        self.starts, self.sizes, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, dtype), 0
+
+    def places(self, keys: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy()
+
+    def add(self, keys: pa.Array, sizes: np.ndarray, items: np.ndarray) -> None:
+        if self.used + len(items) > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], np.empty(self.used + 2 * len(items), self.pool.dtype)))
+        self.pool[self.used : self.used + len(items)] = items
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.starts = np.concatenate((self.starts, self.used + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.used += len(items)
+
+
 class ChunkTable:
     """Encodings of Arrow arrays of texts, by what stands between their blanks.
 
-    The texts are split at each blank and the chunks dictionary-encoded by Arrow, so that Python sees a chunk once for
-    some megabytes of text; the rows are put together again by index arithmetic. ``pieces`` encodes chunks that are
-    not in the cache. With ``lead`` a chunk takes the blank before it with it, else the blanks stand for ``blank``.
+    The texts are split at each blank, and the chunks dictionary-encoded and looked up by Arrow, so that Python sees
+    a chunk only when it is new; the rows are put together again by index arithmetic. ``pieces`` encodes new chunks.
+    With ``lead`` a chunk takes the blank before it with it, else the blanks stand for ``blank``. The cache has two
+    generations, each of ``limit`` chunks and ``most`` bytes at most, so that common chunks stay.
     """
 
-    def __init__(self, pieces: PieceCache, dtype: str, *, lead: bool, blank: bytes = b"", limit: int = 250_000, slice_bytes: int = 8 << 20):
-        self.pieces, self.dtype, self.lead, self.blank, self.limit, self.slice_bytes = pieces, np.dtype(dtype), lead, blank, limit, slice_bytes
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+    def __init__(self, pieces, dtype: str, *, lead: bool, blank: bytes = b"", limit: int = 600_000, most: int = 24 << 20, slice_bytes: int = 4 << 20):
+        self.pieces, self.dtype, self.lead, self.blank, self.limit, self.most, self.slice_bytes = pieces, np.dtype(dtype), lead, blank, limit, most, slice_bytes
+        self.known, self.before = Known(self.dtype), Known(self.dtype)
 
-    def _found(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) + len(chunks) > self.limit:
-            self.known, self.before = {}, self.known
+    def _find(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool of ``known`` the items of the chunks start, and how many they are."""
+        if len(self.known.keys) + len(chunks) > self.limit or self.known.keys.nbytes + self.known.used * self.dtype.itemsize > self.most:
+            self.known, self.before = Known(self.dtype), self.known
         known, before = self.known, self.before
-        out = [*map(known.get, chunks)]
-        new = [i for i, x in enumerate(out) if x is None]
-        fresh = []
-        for i in new:
-            out[i] = before.get(chunks[i])
-            if out[i] is None:
-                fresh.append(i)
-        for at in range(0, len(fresh), 50_000):
-            own = fresh[at : at + 50_000]
-            for i, x in zip(own, self.pieces.join_each([chunks[i] for i in own]), strict=True):
-                out[i] = x
-        known.update([(chunks[i], out[i]) for i in new if len(chunks[i]) <= 48])
-        return out
+        at = known.places(chunks).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = chunks.take(pa.array(new))
+            old = before.places(fresh)
+            has = old >= 0
+            first = len(known.keys)
+            if has.any():
+                known.add(fresh.filter(pa.array(has)), before.sizes[old[has]], gathered(before.pool, before.starts[old[has]], before.sizes[old[has]]))
+            at[new[has]] = first + np.arange(int(has.sum()))
+            rest = fresh.filter(pa.array(~has))
+            if len(rest):
+                first, blank = len(known.keys), self.blank
+                found = self.pieces.join_each(rest.to_pylist())
+                if blank:
+                    found = [x + blank for x in found]
+                known.add(rest, np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize, np.frombuffer(b"".join(found), self.dtype))
+                at[new[~has]] = first + np.arange(len(rest))
+        return known.starts[at], known.sizes[at]
 
     def _slice(self, texts: pa.Array) -> list[np.ndarray]:
         rows = pc.split_pattern(texts, " ")
         ends = rows.offsets.to_numpy()[1:] - rows.offsets[0].as_py()
         coded = rows.flatten().dictionary_encode()
-        at = coded.indices.to_numpy()
-        chunks = coded.dictionary.to_pylist()
+        at, chunks = coded.indices.to_numpy(), coded.dictionary
         firsts = np.concatenate(([0], ends[:-1]))
         if self.lead:
             used = np.unique(at[firsts])
-            heads = [chunks[i] for i in used]
+            n = len(chunks)
+            spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), chunks, pa.scalar(" ", pa.large_string()))
+            chunks = pa.concat_arrays([spaced, chunks.take(pa.array(used))])
             at = at.copy()
-            at[firsts] = len(chunks) + np.searchsorted(used, at[firsts])
-            found = self._found([" " + x for x in chunks]) + self._found(heads)
-        else:
-            found = [x + self.blank for x in self._found(chunks)] if self.blank else self._found(chunks)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        pool, starts = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
+            at[firsts] = n + np.searchsorted(used, at[firsts])
+            again = chunks.dictionary_encode()  # a first chunk may begin with a blank of its own
+            chunks, at = again.dictionary, again.indices.to_numpy()[at]
+        starts, sizes = self._find(chunks)
         own = sizes[at]
-        item_ends = np.cumsum(own)
-        small = np.int32 if max(item_ends[-1], len(pool)) < 1 << 31 else np.int64
-        where = np.repeat((starts[at] - (item_ends - own)).astype(small), own)
-        where += np.arange(len(where), dtype=small)
-        items, cuts = pool[where], item_ends[ends - 1]
-        drop = len(self.blank) // self.dtype.itemsize
+        items = gathered(self.known.pool, starts[at], own)
+        cuts, drop = np.cumsum(own)[ends - 1], len(self.blank) // self.dtype.itemsize
         return [items[a : b - drop] for a, b in zip(np.concatenate(([0], cuts[:-1])), cuts, strict=True)]
 
     def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -207,7 +274,7 @@ class ChunkTable:
         odd = pc.match_substring_regex(texts, f" [{WHITE}]| $").to_numpy(zero_copy_only=False) if self.lead else np.zeros(len(texts), bool)
         sizes = pc.binary_length(texts).to_numpy()
         odd |= sizes > 4 << 20  # these go by blocks
-        at = 0
+        at, rows = 0, None
         while at < len(texts):
             if odd[at]:
                 yield np.frombuffer(self.pieces.join(texts[at].as_py()), self.dtype)
@@ -221,6 +288,8 @@ class ChunkTable:
                 rows = self._slice(texts.slice(at, end - at))
             yield from rows
             at = end
+        del rows
+        give_back()
 
 
 def encoded_pieces(pieces: list[str], encode_word, encode_all, group: int = 512) -> list[bytes]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_table
-from .shared import ChunkTable, PieceCache, cut_ids, encoded_pieces, once, read_bytes
+from .shared import ChunkTable, PieceCache, cut_ids, encoded_pieces, once, read_bytes, small_batches
 
 SEGMENT = "part int, seg int, before bigint, doc_ids binary, null_ids binary, doc_ends binary, n_docs int, n_tokens bigint, chunks array<binary>, more array<binary>, ranks array<binary>"
 ARROW = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("doc_ends", pa.binary()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("chunks", pa.list_(pa.binary())), ("more", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
@@ -110,7 +110,7 @@ class IdEncoder:
         spec = json.loads(description)
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         self.direct = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in spec["pre_tokenizer"].get("pretokenizers", [])] == ["Split", "ByteLevel"]
-        self.table = ChunkTable(PieceCache(self._new), "<u4", lead=False, limit=60_000)
+        self.table = ChunkTable(PieceCache(self._new), "<u4", lead=False, most=48 << 20, slice_bytes=8 << 20)
 
     def _new(self, pieces: list[str]) -> list[bytes]:
         return encoded_pieces(pieces, self._encode_word if self.direct else self._encode_all_of_one, self._encode_all)
@@ -134,6 +134,7 @@ class IdEncoder:
 
 def packed_ids(df: DataFrame, model_path: str, end_id: int, bounds: list[int]) -> DataFrame:
     """``df`` (doc_id, text) as part (how many bounds lie below doc_id; 0 for null), doc_id and packed ids with the end id."""
+    small_batches(df.sparkSession)
     description = read_bytes(model_path).decode()
     key = hashlib.sha256(description.encode()).hexdigest()
     sent = df.sparkSession.sparkContext.broadcast((description, np.array(bounds, np.int64)))  # a vocabulary's size, and a number for each part
@@ -142,7 +143,7 @@ def packed_ids(df: DataFrame, model_path: str, end_id: int, bounds: list[int]) -
     @F.arrow_udf("struct<part: int, packed: binary>")
     def run(names: pa.Array, texts: pa.Array) -> pa.Array:
         encoder = once(("token_store", key), lambda: IdEncoder(sent.value[0]))
-        press = once("token_store press", lambda: zstandard.ZstdCompressor(level=1))
+        press = zstandard.ZstdCompressor(level=1)
         packed = [pack(np.concatenate((ids, end)), press) for ids in encoder.table.each(texts)]
         parts = np.searchsorted(sent.value[1], names.fill_null(np.iinfo(np.int64).min).to_numpy()).astype(np.int32)
         return pa.StructArray.from_arrays([pa.array(parts), pa.array(packed, pa.binary())], names=["part", "packed"])
