@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ChunkTable, PieceCache, cut_ids, encoded_pieces, once, read_bytes
+from .shared import ChunkTable, PieceCache, cut_ids, encoded_pieces, once, read_bytes, small_batches
 
 TYPES = {
     "n_tokens": ("bigint", pa.int64()),
@@ -92,7 +92,7 @@ class ByteBpe:
         self.size_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.digits_of = [str(i) for i in range(len(self.bytes_of))]
         self.model, self.spell = self.tokenizer.model, byte_table()
-        self.table = ChunkTable(PieceCache(self._encode_new), "<u4", lead=True)
+        self.table = ChunkTable(PieceCache(self._encode_new, limit=100_000), "<u4", lead=True)
 
     def _encode_new(self, pieces: list[str]) -> list[bytes]:
         return encoded_pieces(pieces, self._encode_word, self._encode_all)
@@ -151,6 +151,7 @@ class ByteBpe:
 
 def sent(spark, ranks_path: str, pattern: str):
     """The model, broadcast (it has a vocabulary's size), and a key for it."""
+    small_batches(spark)
     text = as_tokenizer_json(read_ranks(read_bytes(ranks_path)), pattern)
     return spark.sparkContext.broadcast(text), hashlib.sha256(text.encode()).hexdigest()
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import unpacked
 from .components import components
-from .shared import ChunkTable, once, without_gc, written
+from .shared import ChunkTable, once, small_batches, without_gc, written
 
 #: Odd numbers that mix hashes (fixed values, from published hash functions); as many as a shingle may have words.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
@@ -286,6 +286,7 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int =
     ``file_keys`` writes the keys beside the sets' sizes and sketches; without it they are made from the texts again,
     which takes less disk and more time.
     """
+    small_batches(df.sparkSession)
     rule = Rule(percent)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     own = ("n_shingles", "node", "sketch") + (("keys",) if file_keys else ())

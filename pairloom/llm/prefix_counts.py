@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_table, unpacked
-from .shared import WHITE, WORD_PIECE, ChunkTable, PieceCache, once, read_bytes
+from .shared import WHITE, WORD_PIECE, ChunkTable, PieceCache, once, read_bytes, small_batches
 
 TYPES = {"n_tokens": ("bigint", pa.int64()), "prefix_deltas": ("binary", pa.binary())}
 NEVER = 1 << 30
@@ -61,8 +61,8 @@ class PrefixCounter:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.spell, self.white = byte_table(), regex.compile(f"[{WHITE}]*")
         self._new_root()
-        pieces = PieceCache(lambda pieces: [self._word_piece(p) if WORD_PIECE.fullmatch(p) else self.deltas_of(p).tobytes() for p in pieces])
-        self.tables = ChunkTable(pieces, "i1", lead=False, blank=b"\x00")
+        pieces = PieceCache(lambda pieces: [self._word_piece(p) if WORD_PIECE.fullmatch(p) else self.deltas_of(p).tobytes() for p in pieces], limit=500_000)
+        self.tables = ChunkTable(pieces, "i1", lead=False, blank=b"\x00", most=48 << 20, slice_bytes=8 << 20)
 
     # -- one word, spelt in the library's characters
 
@@ -253,6 +253,7 @@ def counts_in(table: bytes) -> np.ndarray:
 
 def with_prefix_counts(df: DataFrame, text: str = "text", *, model_path: str, outputs: tuple[str, ...] = ("n_tokens", "prefix_deltas")) -> DataFrame:
     """``df`` with ``prefix_deltas``, the table of its text, and ``n_tokens``, what the table says of the whole text."""
+    small_batches(df.sparkSession)
     description = read_bytes(model_path).decode()
     key = hashlib.sha256(description.encode()).hexdigest()
     sent = df.sparkSession.sparkContext.broadcast(description)  # a vocabulary's size

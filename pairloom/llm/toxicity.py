@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import label_counts, labelled_texts
-from .shared import ChunkTable, once
+from .shared import ChunkTable, once, small_batches
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Odd numbers that spread a character over bytes (fixed values, from published hash functions).
@@ -61,7 +61,7 @@ class Toxicity:
 class Gains:
     """One worker's window gains: chunk of text -> a signed byte for each word."""
 
-    def __init__(self, model: Toxicity, limit: int = 300_000):
+    def __init__(self, model: Toxicity, limit: int = 100_000):
         self.plain, self.toxic = self._press(model.ordinary), self._press(model.toxic + model.ordinary)
         self.limit, self.known, self.before = limit, {}, {}
         self.table = ChunkTable(self, "i1", lead=False)
@@ -165,6 +165,7 @@ def scored(df: DataFrame, model: Toxicity, *, text: str = "text") -> DataFrame:
     """``df`` with score (0 to 1; THRESHOLD and more: toxic), max_gain and n_windows."""
     from .byte_bpe import unpacked
 
+    small_batches(df.sparkSession)
     key = hashlib.sha256(repr(model).encode()).hexdigest()
     sent = df.sparkSession.sparkContext.broadcast(model)  # some ten thousand characters
 
