@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Unicode's White_Space code points, as the body of a character class (fixed values).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Latin letters up to U+024F, as the body of a character class (fixed values).
-LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: The same as a set.
+SPACES = frozenset(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
+#: Latin letters up to U+024F, as the body of a character class (fixed values). U+0130 is not one of them: its lower case
+#: ends in a mark, which patterns split off and join to marks that follow.
+LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
 #: A run without white space, with the white space before it. Latin letters that begin a run are cut off if an ASCII
 #: character that is no letter follows: that can't combine with them, and every pattern used here ends a token there.
 PIECE = re.compile(f"[{WHITE}]*(?:[{LATIN}]+(?=[!-@\\[-`{{-\x7f{WHITE}]|\\Z)|[^{WHITE}]+)|[{WHITE}]+")
@@ -299,7 +302,7 @@ def encoded_pieces(pieces: list[str], encode_word, encode_all, group: int = 512)
     for each would cost more than the encoding.
     """
     found = {p: encode_word(p) for p in pieces if WORD_PIECE.fullmatch(p)}
-    joint = [p for p in pieces if p not in found and p[0].isspace() and not p[-1].isspace()]
+    joint = [p for p in pieces if p not in found and p[0] in SPACES and p[-1] not in SPACES]
     for at in range(0, len(joint), group):
         own = joint[at : at + group]
         ends, end = [], 0

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -50,6 +51,18 @@ def test_store(spark, library):
         assert r.token_id == (once[r.doc_id][r.position] if r.doc_id in once and 0 <= r.position < len(once[r.doc_id]) else None)
 
 
+ODD = ["İ", "i", "I", "s", "ß", "ẞ", "\u0307", "\u0301", "\u0327", "\x1c", "\x1d", "\x1e", "\x1f", " ", "  ", "\t", "\n", "\x85", "\xa0", "'", "'s", "a", "É", "Ǆ", "Σ", "ς", ",", ".", "1", "<|endoftext|>", "日", "ŉ", "ﬁ", "\u2028", "Ⱥ"]
+
+
+def test_odd_characters(library):
+    rng = random.Random(5)
+    texts = ["İstanbul", "x İstanbul İ", "a.\x1cb", "\t.\x1c."] + ["".join(rng.choices(ODD, k=rng.randint(1, 9))) for _ in range(8000)]
+    with open(PATH) as f:
+        encoder = token_store.IdEncoder(f.read())
+    for text, ids in zip(texts, encoder.table.each(pa.array(texts)), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_empty_store(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert token_store.read_documents(spark, token_store.write(df, fresh_path(spark, "store"), model_path=PATH)).count() == 0
