@@ -795,12 +795,12 @@ def rank_summary(s, d):
 
 @query()
 def edit_mass(s, d):
-    return feats(s, d).where("body_len_delta < 200 AND char5_jaccard > 0.3").select("pair_id", udfs.edit_mass("a_body", "b_body").alias("mass"))
+    return feats(s, d).select("pair_id", udfs.edit_mass("a_body", "b_body").alias("mass"))
 
 
 @query()
 def edit_hulls(s, d):
-    return feats(s, d).where("char5_jaccard > 0.3").select("pair_id", F.size(udfs.edit_hulls(T.norm1(F.col("a_body")), T.norm1(F.col("b_body")))).alias("hulls"))
+    return feats(s, d).select("pair_id", F.size(udfs.edit_hulls(T.norm1(F.col("a_body")), T.norm1(F.col("b_body")))).alias("hulls"))
 
 
 @query()

@@ -1,3 +1,6 @@
+import difflib
+import itertools
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +32,24 @@ def test_queries_match_sql(spark, sf_dir, name):
     assert rows(tuple(r) for r in found.select(*names).collect()) == rows(want)
 
 
+def test_edits_of_every_pair(spark, tmp_path):
+    """Pairs of long and of quite different bodies have their rows, too; difflib on every pair is the plain version."""
+    head = "One title that is forty characters long."
+    bodies = [head, f"{head} short end", f"{head} short and", f"{head} " + "quite another text of many words " * 12, f"{head} " + "zebra, 12345! " * 40]
+    docs = [(i, b, "en", "web", len(b)) for i, b in enumerate(bodies)] + [(9, "Alone", "en", "web", 5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    mass, hulls = {}, {}
+    for a, b in itertools.combinations(range(len(bodies)), 2):
+        edits = lambda x, y, junk: [c[1:] for c in difflib.SequenceMatcher(None, x, y, autojunk=junk).get_opcodes() if c[0] != "equal"]
+        key = f"{a}--{b}"
+        mass[key] = sum(max(i2 - i1, j2 - j1) for i1, i2, j1, j2 in edits(bodies[a], bodies[b], True))
+        x, y = (" ".join(t.split()).lower() for t in (bodies[a], bodies[b]))
+        found = edits(x, y, False)
+        hulls[key] = sum(k == 0 or e[0] - found[k - 1][1] > 12 or e[2] - found[k - 1][3] > 12 for k, e in enumerate(found))
+    assert {r.pair_id: r.mass for r in QUERIES["edit_mass"](spark, str(tmp_path)).collect()} == mass
+    assert {r.pair_id: r.hulls for r in QUERIES["edit_hulls"](spark, str(tmp_path)).collect()} == hulls
+
+
 def test_entry(spark):
     assert {"flagship_pairs"} <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
