@@ -26,31 +26,48 @@ def next_of(value: Column, domain: list[str]) -> Column:
     return out
 
 
-def donors(records: DataFrame, seed: int = 0) -> DataFrame:
-    """id, donor: a record of the same block whose body differs. Within a block each takes the next in hash order, so
-    nothing is paired with everything."""
-    h = F.xxhash64(F.lit(seed), "id")
-    w = Window.partitionBy("language", "record_type").orderBy(h, "id")
-    x = records.withColumns({"_next": F.lead("id").over(w), "_next_body": F.lead("body").over(w), "_first": F.first("id").over(w), "_first_body": F.first("body").over(w)})
-    x = x.select("id", "body", F.coalesce("_next", "_first").alias("donor"), F.coalesce("_next_body", "_first_body").alias("donor_body"))
-    return x.where((F.col("donor") != F.col("id")) & ~F.col("body").eqNullSafe(F.col("donor_body"))).select("id", "donor", "donor_body")
+def donors(records: DataFrame, field: str = "body", seed: int = 0, takers: DataFrame | None = None) -> DataFrame:
+    """id, donor, donor_<field>: for each taker (all records, if none are given) a record whose field differs; only where
+    no record's does it has none.
+
+    Within a block of (language, record_type) each value takes the next one in hash order; a block with one value takes
+    one of two from the whole table.
+    """
+    key = F.sha2(F.to_json(F.struct(field)), 256)
+    order = F.struct(F.xxhash64(F.lit(seed), "_key").alias("h"), "_key", "_id")
+    block = Window.partitionBy("language", "record_type")
+    w = block.orderBy(F.xxhash64(F.lit(seed), "_key"), "_key")
+    values = records.groupBy("language", "record_type", key.alias("_key")).agg(F.min(F.struct(F.xxhash64(F.lit(seed), "id").alias("h"), "id"))["id"].alias("_id"))
+    one = values.agg(F.min(order).alias("_a"))
+    other = values.crossJoin(F.broadcast(one)).where("_key <> _a._key").agg(F.min(order).alias("_b"))
+    following = F.when(F.count("*").over(block) > 1, F.coalesce(F.lead("_id").over(w), F.first("_id").over(w)))
+    anywhere = F.when(F.col("_key") != F.col("_a._key"), F.col("_a._id")).otherwise(F.col("_b._id"))
+    found = values.withColumn("donor", following).crossJoin(F.broadcast(one)).crossJoin(F.broadcast(other))
+    found = found.select(F.col("language").alias("_l"), F.col("record_type").alias("_t"), F.col("_key").alias("_k"), F.coalesce("donor", anywhere).alias("donor"))
+    x = (records if takers is None else takers).select("id", "language", "record_type", key.alias("_key"))
+    x = x.join(found, F.col("language").eqNullSafe(F.col("_l")) & F.col("record_type").eqNullSafe(F.col("_t")) & (F.col("_key") == F.col("_k")))
+    return x.select("id", "donor").join(records.select(F.col("id").alias("donor"), F.col(field).alias(f"donor_{field}")), "donor").select("id", "donor", f"donor_{field}")
 
 
 def pretrain_pairs(records: DataFrame, *, languages: list[str], types: list[str], seed: int = 0) -> DataFrame:
-    """id, label, strategy, title, body, language, record_type: a weak positive of each record and at most one hard negative."""
+    """id, label, strategy, title, body, tags, language, record_type: a weak positive of each record and a hard negative,
+    unless that would need a donor and there is none."""
     pick = lambda k, salt: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(k))
     pos = records.withColumn("_p", pick(3, 1)).select(
         "id", F.lit(1).alias("label"), F.element_at(F.array(F.lit("collapse"), F.lit("plain-marks"), F.lit("swap-case")), (F.col("_p") + 1).cast("int")).alias("strategy"),
         F.when(F.col("_p") == 2, T.swap_case(F.col("title"))).otherwise(F.col("title")).alias("title"),
-        F.when(F.col("_p") == 0, collapse_body(F.col("body"))).when(F.col("_p") == 1, T.plain_marks(F.col("body"))).otherwise(F.col("body")).alias("body"), "language", "record_type",
+        F.when(F.col("_p") == 0, collapse_body(F.col("body"))).when(F.col("_p") == 1, T.plain_marks(F.col("body"))).otherwise(F.col("body")).alias("body"), "tags", "language", "record_type",
     )
-    neg = records.withColumn("_p", pick(3, 2)).join(donors(records, seed).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
-    neg = neg.where((F.col("_p") != 0) | F.col("donor").isNotNull()).select(
-        "id", F.lit(0).alias("label"), F.element_at(F.array(F.lit("substitute"), F.lit("flip-language"), F.lit("flip-type")), (F.col("_p") + 1).cast("int")).alias("strategy"), "title",
-        F.when(F.col("_p") == 0, F.col("donor_body")).otherwise(F.col("body")).alias("body"),
-        F.when(F.col("_p") == 1, next_of(F.col("language"), languages)).otherwise(F.col("language")).alias("language"), F.when(F.col("_p") == 2, next_of(F.col("record_type"), types)).otherwise(F.col("record_type")).alias("record_type"),
-    )
-    return pos.unionByName(neg)
+    picked = records.withColumn("_p", pick(5, 2))
+    negative = lambda x, strategy, **new: x.select("id", F.lit(0).alias("label"), strategy.alias("strategy"), *[new.get(c, F.col(c)).alias(c) for c in ("title", "body", "tags", "language", "record_type")])
+    out = pos.unionByName(negative(
+        picked.where("_p IN (1, 2)"), F.when(F.col("_p") == 1, "flip-language").otherwise("flip-type"),
+        language=F.when(F.col("_p") == 1, next_of(F.col("language"), languages)).otherwise(F.col("language")), record_type=F.when(F.col("_p") == 2, next_of(F.col("record_type"), types)).otherwise(F.col("record_type")),
+    ))
+    for p, field, strategy in ((0, "body", "substitute"), (3, "title", "substitute-title"), (4, "tags", "substitute-tags")):
+        own = picked.where(F.col("_p") == p)
+        out = out.unionByName(negative(own.join(donors(records, field, seed, own), "id"), F.lit(strategy), **{field: F.col(f"donor_{field}")}))
+    return out
 
 
 def swap_sentences(body: Column) -> Column:

@@ -157,6 +157,28 @@ def test_fingerprints(spark):
     fingerprints.isolated_labels("/x/pairs.jsonl", "/y/labels.csv")
 
 
+def test_donors_are_missing_only_where_none_exists(spark):
+    schema = "id long, title string, body string, tags array<string>, language string, record_type string"
+    rows = [(i, f"T{i % 7}", "copied" if i % 3 else f"Body {i}", [f"t{i % 4}"], [None, "en"][i % 2], "note") for i in range(90)]
+    rows += [(100, "T0", "copied", ["t0"], "fr", "fact"), (101, "T1", "only here", ["t1"], "es", "snippet"), (102, "T2", None, ["t2"], "es", "fact")]
+    r = spark.createDataFrame(rows, schema)
+    by_id = {x[0]: dict(zip(r.columns, x, strict=True)) for x in rows}
+    for field in ("title", "body", "tags"):
+        found = transforms.donors(r, field).collect()
+        assert sorted(x.id for x in found) == sorted(by_id)
+        assert all(x[f"donor_{field}"] == by_id[x.donor][field] != by_id[x.id][field] for x in found)
+        assert all(by_id[x.donor]["language"] == by_id[x.id]["language"] for x in found if x.id < 100)
+    out = [x for x in transforms.pretrain_pairs(r, languages=["en", "fr"], types=["note", "fact"]).collect() if x.label == 0]
+    assert sorted(x.id for x in out) == sorted(by_id)
+    changed = {"substitute": "body", "substitute-title": "title", "substitute-tags": "tags"}
+    assert {x.strategy for x in out} == {*changed, "flip-language", "flip-type"}
+    for x in out:
+        if x.strategy in changed:
+            assert [f for f in changed.values() if x[f] != by_id[x.id][f]] == [changed[x.strategy]]
+    same = spark.createDataFrame([(i, "T", "same", ["t"], "en", "note") for i in range(5)], schema)
+    assert transforms.donors(same).count() == 0
+
+
 def test_transforms(spark):
     r = spark.createDataFrame([(i, f"T{i}", f"Body number {i}. Second one!", ["a", "b", "c"], ["en", "de"][i % 2], ["note", "fact"][i % 2]) for i in range(30)], "id long, title string, body string, tags array<string>, language string, record_type string")
     out = transforms.pretrain_pairs(r, languages=["de", "en"], types=["note", "fact"]).collect()
