@@ -1,8 +1,8 @@
 """A byte-level convolutional network in numpy that tells good documents from bad ones.
 
-A text's UTF-8 bytes are cut into chunks that overlap by a filter's width, so that the filters pass over every place of
-the whole document. Bytes are embedded, each filter looks at ``width`` bytes at every ``stride``-th place, and its
-rectified responses are max-pooled within the chunk. The chunk vectors are pooled again over the document, by their
+A text's UTF-8 bytes are cut into chunks that overlap by a filter's width, so that the filters pass over every byte of
+the whole document. Bytes are embedded, each filter looks at ``width`` bytes at every place (while it is trained, at every
+``stride``-th place from a start drawn anew each time), and its rectified responses are max-pooled within the chunk. The chunk vectors are pooled again over the document, by their
 maximum and their mean, and combined into one probability. Embedding, filters and output are learned by gradient
 descent (Adam) on a bounded labelled sample; labels are weighed by their true shares. The cut with the best F1 for the
 rarer label becomes ``THRESHOLD`` of the score.
@@ -77,10 +77,10 @@ class ByteCnn:
         return float(THRESHOLD * p / self.cut if p < self.cut else THRESHOLD + (1 - THRESHOLD) * (p - self.cut) / (1 - self.cut)), chunks
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "quality", key: str = "doc_id", per_class: int = 1500, chars: int = 4096, d: int = 8, f: int = 32, width: int = 8, stride: int = 2, chunk: int = 512, epochs: int = 12, seed: int = 5) -> ByteCnn | None:
-    """Learns from at most ``per_class`` rows of each label, ``chars`` characters of each."""
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "quality", key: str = "doc_id", per_class: int = 1500, max_bytes: int = 16 << 20, d: int = 8, f: int = 32, width: int = 8, stride: int = 2, chunk: int = 512, epochs: int = 12, seed: int = 5) -> ByteCnn | None:
+    """Learns from whole texts of at most ``per_class`` rows and ``max_bytes`` bytes of each label."""
     counts = label_counts(labels, label)
-    rows = labelled_texts(docs, labels, label=label, key=key, text=text, per_class=per_class, chars=chars)
+    rows = labelled_texts(docs, labels, label=label, key=key, text=text, per_class=per_class, max_bytes=max_bytes)
     y = np.array([r["label"] for r in rows], np.float32)
     if len({*y.tolist()}) < 2:
         return None
@@ -136,6 +136,7 @@ def train(raws: list[np.ndarray], y: np.ndarray, counts: dict[int, int], *, d: i
                 move = rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
                 new = getattr(net, n) - move
                 setattr(net, n, float(new) if n == "shift" else new.astype(np.float32))
+    net.stride = 1
     guess = np.array([1 / (1 + np.exp(-np.clip(float(np.concatenate(net.pooled(r)[:2]) @ net.out + net.shift), -30, 30))) for r in raws])
     weight = np.where(y == 1, counts[1] / max(1, y.sum()), counts[0] / max(1, (1 - y).sum()))
     rare = 0 if counts[0] <= counts[1] else 1

@@ -11,9 +11,12 @@ an odd number; two sketches differ in at most as many bits as the sets in elemen
 not written out: a key yields a spanning forest of what is left, and the trees' components are the groups of the exact
 join. There the fragments' overlaps are counted one after another by products of incidence matrices and summed per
 pair; a group yields the number of links of each set and a spanning forest again. Keys and groups with many sets
-are dealt over blocks, and block meets block in tasks of their own. Equal sets are one node with several documents
-throughout; nodes are 64-bit hashes of sets, as elements are of shingles (two of a billion different sets would
-share one with a chance of about 3 in 100). Nothing is capped and no link is lost.
+are dealt over blocks, bounded in sets and in bytes, and block meets block in tasks of their own. Equal sets are one node
+with several documents throughout; a node is a 64-bit hash of the set, and sets with one such hash but another second
+one become nodes of their own. Elements are 64-bit hashes of shingles. Nothing is capped and no link is lost.
+
+Crowded keys, nodes and groups stay spread: copies of very frequent sets give their keys once, keys that many sets of a
+hash sample have are counted apart by partial sums, and crowded sides of joins are met by broadcast (``looked_up``).
 
 Documents without words, empty or null have an empty set and are linked with nothing. With fewer words than a
 shingle has, the whole sequence is one shingle. Rows with equal doc_id count as one node; rows with a null doc_id have
@@ -30,17 +33,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import unpacked
 from .components import components
-from .shared import ChunkTable, once, small_batches, without_gc, written
+from .shared import ChunkTable, looked_up, once, small_batches, without_gc, written
 
 #: Odd numbers that mix hashes (fixed values, from published hash functions); as many as a shingle may have words.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
 SPLIT = re.compile("[\x20\t-\r]+")
-KEY_BITS = np.uint64((1 << 44) - 1)
+#: Bits of a key that are a hash; those above are its size class.
+CLASS_AT = 44
+KEY_BITS = np.uint64((1 << CLASS_AT) - 1)
 FOUND = "rep bigint, links bigint, toward bigint"
 ARROW_FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("toward", pa.int64())])
 
@@ -78,7 +83,7 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    table = once("jaccard words", lambda: ChunkTable(WordHashes(), "<u8", lead=False))
+    table = once("jaccard words", lambda: ChunkTable(WordHashes(), "<u8", lead=False, limit=100_000, most=8 << 20))
     for words in table.each(pc.ascii_lower(texts.cast(pa.large_string()))):
         yield shingle_set(words, k)
 
@@ -109,12 +114,17 @@ class Rule:
             k = int(self.apart(top, top)) + 1
             fragment = ((own >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             starts = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1])))
-            place = np.uint64(c * 0x1000003 + 1)
-            out.append(finished(np.bitwise_xor.reduceat(finished(own + MIX[3]), starts) + fragment[starts] * MIX[1] + place))
+            place, above = np.uint64(c * 0x1000003 + 1), np.uint64(c << CLASS_AT)
+            out.append(finished(np.bitwise_xor.reduceat(finished(own + MIX[3]), starts) + fragment[starts] * MIX[1] + place) & KEY_BITS | above)
             if k - len(starts) >= k - self.apart(n, min(top, largest)):  # a partner may agree with it in empty segments only
                 empty = np.setdiff1d(np.arange(k, dtype=np.uint64), fragment[starts])
-                out.append(finished(empty * MIX[4] + place))
-        return (np.concatenate(out) & KEY_BITS).astype(np.int64)
+                out.append(finished(empty * MIX[4] + place) & KEY_BITS | above)
+        return np.concatenate(out).astype(np.int64)
+
+    def sets_at_once(self, key, most: int, room: int):
+        """How many sets of a key's size class have sketches of ``room`` bytes in all, ``most`` at most (a column)."""
+        least = [min(most, max(16, room * 8 // max(64, 2 * int(top)))) for top in self.bounds[1:]]
+        return F.element_at(F.array(*map(F.lit, least)), F.shiftright(key, CLASS_AT).cast("int") + 1)
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -252,55 +262,92 @@ def linked(ids: np.ndarray, many: np.ndarray, sets: list[np.ndarray], sides: np.
 # -- the join
 
 
-def in_blocks(df: DataFrame, group: str, count: str, size: int) -> DataFrame:
-    """Rows dealt over tasks (group, i, j) in which two blocks of a group meet, with ``side`` 0, 1, or 2 where the block meets itself."""
-    rows = df.withColumn("_n", F.ceil(F.col(count) / size).cast("int")).withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
+def in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
+    """Rows dealt over tasks (i, j) in which two of a group's ``blocks`` meet, with ``side`` 0, 1, or 2 where the block meets itself."""
+    rows = df.withColumn("_n", blocks.cast("int")).withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     side = F.when(F.col("_b") == F.col("_o"), F.lit(2)).when(F.col("_b") < F.col("_o"), F.lit(0)).otherwise(F.lit(1))
-    return rows.withColumns({"i": F.least("_b", "_o"), "j": F.greatest("_b", "_o"), "side": side}).drop("_n", "_b", "_o", count)
+    return rows.withColumns({"i": F.least("_b", "_o"), "j": F.greatest("_b", "_o"), "side": side}).drop("_n", "_b", "_o")
 
 
 def grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def two_hashes(own: np.ndarray) -> tuple[int, int]:
+    raw = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
 def with_sets(df: DataFrame, *, text: str, k: int, rule: Rule, outputs: tuple[str, ...]) -> DataFrame:
-    """``df`` with n_shingles and, as asked for, node (a 64-bit hash of the set, which stands for it), keys, sketch and elements."""
-    types = {"n_shingles": ("bigint", pa.int64()), "node": ("bigint", pa.int64()), "keys": ("array<bigint>", pa.list_(pa.int64())), "sketch": ("binary", pa.binary()), "elements": ("binary", pa.binary())}
-    make = {"n_shingles": len, "node": lambda s: int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True), "keys": rule.keys, "sketch": sketch, "elements": lambda s: s.tobytes()}
+    """``df`` with n_shingles and, as asked for, node and check (64-bit hashes of the set), keys, sketch and elements."""
+    types = {"n_shingles": ("bigint", pa.int64()), "node": ("bigint", pa.int64()), "check": ("bigint", pa.int64()), "keys": ("array<bigint>", pa.list_(pa.int64())), "sketch": ("binary", pa.binary()), "elements": ("binary", pa.binary())}
+    make = {"n_shingles": len, "keys": rule.keys, "sketch": sketch, "elements": lambda s: s.tobytes()}
 
     @F.arrow_udf("struct<" + ", ".join(f"{n}: {types[n][0]}" for n in outputs) + ">")
     def run(texts: pa.Array) -> pa.Array:
         columns: dict[str, list] = {n: [] for n in outputs}
         for own in sets_of(texts, k):
-            for n in outputs:
-                columns[n].append(make[n](own))
+            if "node" in columns:
+                for n, x in zip(("node", "check"), two_hashes(own), strict=True):
+                    if n in columns:
+                        columns[n].append(x)
+            for n in columns:
+                if n in make:
+                    columns[n].append(make[n](own))
         return pa.StructArray.from_arrays([pa.array(columns[n], types[n][1]) for n in outputs], names=list(outputs))
 
     return unpacked(df, run(F.col(text)), outputs)
 
 
-def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, key_block: int = 8192, group_block: int = 1024, file_keys: bool = True) -> DataFrame:
+def told_apart(df: DataFrame, shared: list[int]) -> DataFrame:
+    """Nodes whose hash several sets share get another from both hashes; two sets in 2**64 have one, so there are few."""
+    return df.withColumn("node", F.when(F.col("node").isin(shared), F.xxhash64("node", "check")).otherwise(F.col("node"))) if shared else df
+
+
+def crowded_keys(exploded: DataFrame, every: int = 64, share: int = 100) -> DataFrame:
+    """Keys that more than a ``share``-th of the sets of a hash sample have; their number is at most ``share`` times a set's keys.
+
+    Only how keys are counted depends on them, not what is found.
+    """
+    sample = exploded.where(F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(every)) == 0)
+    sets = sample.select("rep").distinct().count()
+    counts = sample.groupBy(F.col("key").alias("_hot")).agg(F.count_distinct("rep").alias("_sets"))
+    return counts.where(F.col("_sets") > max(8, sets / share)).select("_hot")
+
+
+def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, key_block: int = 8192, group_block: int = 1024, block_bytes: int = 16 << 20, file_keys: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links for every row.
 
     ``file_keys`` writes the keys beside the sets' sizes and sketches; without it they are made from the texts again,
-    which takes less disk and more time.
+    which takes less disk and more time. Blocks hold ``key_block`` sketches or ``group_block`` sets, or fewer that have
+    about ``block_bytes`` bytes.
     """
     small_batches(df.sparkSession)
     rule = Rule(percent)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    own = ("n_shingles", "node", "sketch") + (("keys",) if file_keys else ())
+    own = ("n_shingles", "node", "check", "sketch") + (("keys",) if file_keys else ())
     filed = written(with_sets(docs, text="text", k=k, rule=rule, outputs=own).drop("text"), "sets")
+    shared = [r["node"] for r in filed.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a < b").collect()]
+    filed = told_apart(filed, shared)
     counted = filed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    nodes = counted.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"))
-
-    keyed = filed if file_keys else with_sets(docs, text="text", k=k, rule=rule, outputs=("node", "keys"))
-    exploded = keyed.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), F.col("node").alias("rep"))
+    nodes = written(counted.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"), F.min("n_shingles").alias("size")), "nodes")
+    n_docs = nodes.agg(F.sum("many")).first()[0] or 0
+    frequent = F.broadcast(nodes.where(F.col("many") * 1000 > n_docs).select(F.col("node").alias("_often"), F.col("rep").alias("_first")))  # 1000 at most
+
+    keyed = filed if file_keys else told_apart(with_sets(docs, text="text", k=k, rule=rule, outputs=("node", "check", "keys")), shared)
+    once_each = keyed.where("doc_id IS NOT NULL").join(frequent, F.col("node") == F.col("_often"), "left").where("_often IS NULL OR doc_id = _first")
+    exploded = once_each.select(F.explode("keys").alias("key"), F.col("node").alias("rep"))
+    hot = F.broadcast(written(crowded_keys(exploded), "crowded"))
     whole = Window.partitionBy("key")
-    several = exploded.withColumns({"_least": F.min("rep").over(whole), "_most": F.max("rep").over(whole)}).where("_least < _most").select("key", "rep").distinct()
-    several = several.join(several.groupBy("key").agg(F.count("*").alias("count")), "key")
+    marked = exploded.join(hot, F.col("key") == F.col("_hot"), "left")
+    several = marked.where("_hot IS NULL").drop("_hot").withColumns({"_least": F.min("rep").over(whole), "_most": F.max("rep").over(whole)}).where("_least < _most").select("key", "rep").distinct()
+    several = several.withColumn("count", F.count("*").over(whole))
+    crowds = marked.where("_hot IS NOT NULL").select("key", "rep").distinct()
+    crowds = crowds.join(F.broadcast(crowds.groupBy(F.col("key").alias("_hot")).agg(F.count("*").alias("count")).where("count > 1")), F.col("key") == F.col("_hot")).drop("_hot")
     sketches = counted.groupBy(F.col("node").alias("rep")).agg(F.min(F.struct(F.col("n_shingles").alias("size"), "sketch")).alias("x")).select("rep", "x.*")
-    candidates = in_blocks(several, "key", "count", key_block).join(sketches, "rep")
+    at_once = rule.sets_at_once(F.col("key"), key_block, block_bytes)
+    candidates = in_blocks(several.unionByName(crowds), F.ceil(F.col("count") / at_once)).drop("count").join(sketches, "rep")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["key", "i", "j"]):
@@ -312,11 +359,12 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int =
 
     trees = grouped(candidates, ["key", "i", "j"]).mapInArrow(sift, FOUND)
     groups = components(trees.select(F.col("rep").alias("a"), F.col("toward").alias("b")))
-    groups = groups.select(F.col("node").alias("_node"), F.col("component").alias("group"))
-    counts = groups.groupBy("group").agg(F.count("*").alias("count"))
-    placed = groups.join(counts, "group").join(nodes, F.col("node") == F.col("_node")).select("group", "count", "many", "rep", "_node")
+    groups = groups.select(F.col("node").alias("_node"), F.col("component").alias("group")).join(nodes, F.col("node") == F.col("_node")).drop("node")
+    totals = groups.groupBy(F.col("group").alias("_group")).agg(F.count("*").alias("count"), F.sum("size").alias("sum"))
+    blocks = F.greatest(F.ceil(F.col("count") / group_block), F.ceil(F.col("sum") * 8 / block_bytes))
+    placed = looked_up(groups, totals.withColumn("blocks", blocks).drop("sum"), "group", "_group", weight="count", total=groups.count()).select("group", "blocks", "many", "rep", "_node")
     texts = placed.join(docs, F.col("rep") == F.col("doc_id")).drop("doc_id", "rep")
-    texts = with_sets(texts, text="text", k=k, rule=rule, outputs=("node", "elements")).drop("text").where("node = _node").drop("_node").withColumnRenamed("node", "rep")
+    texts = told_apart(with_sets(texts, text="text", k=k, rule=rule, outputs=("node", "check", "elements")).drop("text"), shared).where("node = _node").drop("_node", "check").withColumnRenamed("node", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["group", "i", "j"]):
@@ -329,13 +377,15 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int =
             if has.any():
                 yield as_found(ids[has], links[has], edges)
 
-    found = written(grouped(in_blocks(texts, "group", "count", group_block), ["group", "i", "j"]).mapInArrow(compare, FOUND), "links")
+    found = written(grouped(in_blocks(texts, F.col("blocks")).drop("blocks"), ["group", "i", "j"]).mapInArrow(compare, FOUND), "links")
     parts = components(found.select(F.col("rep").alias("a"), F.col("toward").alias("b"))).select(F.col("node").alias("_node"), F.col("component").alias("_part"))
     links = found.groupBy(F.col("rep").alias("_rep")).agg(F.sum("links").alias("links"))
     known = nodes.join(links, F.col("node") == F.col("_rep"), "left").join(parts, F.col("node") == F.col("_node"), "left").withColumn("_part", F.coalesce("_part", "node"))
-    least = known.groupBy("_part").agg(F.min("rep").alias("_component")).withColumnRenamed("_part", "_of")
-    known = known.join(least, F.col("_part") == F.col("_of")).select(F.col("node").alias("_known"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("_links"), "_component")
-    out = filed.select("doc_id", "n_shingles", "node").join(known, F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")) == F.col("_known"), "left")
+    known = written(known.select("node", "rep", "many", "links", "_part"), "known")
+    least = known.groupBy(F.col("_part").alias("_of")).agg(F.min("rep").alias("_component"), F.count("*").alias("_nodes"))
+    known = looked_up(known, least, "_part", "_of", weight="_nodes", total=known.count()).select(F.col("node").alias("_known"), "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("_links"), "_component")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node"))
+    out = looked_up(filed.select("doc_id", "n_shingles", own.alias("_own")), known, "_own", "_known", weight="many", total=n_docs, how="left")
     return out.select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"), F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 

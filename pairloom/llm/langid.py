@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-For each language the lower-cased texts of a bounded sample are a raw-content dictionary of Zstandard. A text is
+For each language the lower-cased pieces of a bounded sample, drawn over whole texts, are a raw-content dictionary of
+Zstandard. A text is
 compressed with every language's dictionary, in windows that cover all of it; the language whose dictionary leaves the
 fewest bytes is chosen. ``margin`` is by what share the next best needs more; below ``min_margin`` the choice counts as
 rejected, though the best language is still told. Of languages that tie, the one with more learned rows wins.
@@ -20,18 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import unpacked
-from .learning import labelled_sample
+from .learning import labelled_windows
 from .shared import once, small_batches
 
 OUTPUTS = ("lang_pred", "score", "margin", "rejected")
 
 
-def fit(df: DataFrame, *, lang: str = "lang", text: str = "text", per_lang: int = 256, chars: int = 1000, dict_bytes: int = 1 << 16) -> list[tuple[str, bytes]]:
-    """(language, dictionary) by falling number of rows, from at most ``per_lang`` rows of ``chars`` characters each."""
+def fit(df: DataFrame, *, lang: str = "lang", text: str = "text", per_lang: int = 256, windows: int = 4, chars: int = 128, dict_bytes: int = 1 << 17) -> list[tuple[str, bytes]]:
+    """(language, dictionary) by falling number of rows, from ``windows`` pieces of ``chars`` characters of at most
+    ``per_lang`` rows each. Of equal texts with several languages each counts for its own."""
     frequent = {r[lang]: r["count"] for r in df.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}  # a row for each language
     texts: dict[str, list[bytes]] = {}
-    for r in labelled_sample(df, label=lang, text=text, per_class=per_lang, chars=chars):
-        texts.setdefault(r["label"], []).append(r["text"].lower().encode("utf-8", "replace"))
+    for r in labelled_windows(df, label=lang, text=text, per_class=per_lang, windows=windows, chars=chars):
+        texts.setdefault(r["label"], []).extend(x.lower().encode("utf-8", "replace") for x in r["pieces"])
     order = sorted(texts, key=lambda x: (-frequent.get(x, 0), x))
     return [(x, b"\n".join(texts[x])[:dict_bytes]) for x in order if len(b"\n".join(texts[x])) >= 8]
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Unicode's White_Space code points, as the body of a character class (fixed values).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -36,15 +37,22 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 BUILT: dict = {}
 USED = [0.0]
 IDLE_S = 15
+#: Parameters of the C library's allocator and the values used for them (the numbers are fixed by it): one arena, blocks of
+#: a MB and more apart, so that they go back at once, and free memory at the end given back.
+ALLOCATOR = ((-8, 1), (-3, 1 << 20), (-1, 1 << 20))
 
 
 def once(key, build):
     """What ``build()`` returned at this worker's first call with ``key``, as long as no other key was asked for.
 
-    Workers stay when their stage is over; one that isn't asked for some seconds lets its object and caches go.
+    What was built for another key is let go first, so a worker that serves one stage after another holds one model.
+    Workers stay when their stage is over; one that isn't asked for some seconds lets its object and caches go as well.
     """
     if key not in BUILT:
         if not USED[0]:
+            with contextlib.suppress(OSError, AttributeError):
+                for name, value in ALLOCATOR:
+                    ctypes.CDLL(None).mallopt(name, value)
             pa.set_memory_pool(pa.system_memory_pool())  # its free memory can be given back
             threading.Thread(target=_let_go, daemon=True).start()
         BUILT.clear()
@@ -70,7 +78,7 @@ def give_back() -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of texts are kept small, unless the session says otherwise: a worker holds several of them at once."""
-    for name, usual, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b")):
+    for name, usual, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b")):
         if spark.conf.get(name) == usual:
             spark.conf.set(name, own)
 
@@ -88,9 +96,11 @@ def read_bytes(path: str) -> bytes:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session has none."""
+    """The folder that driver and executors share. Where the session has none, one is set on a local master only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file:///tmp/pairloom-checkpoints"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -100,13 +110,53 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Lists of the paths that ``written`` makes, one for each open ``tables_made``.
+MADE: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths of the tables that ``written`` makes inside."""
+    own: list[str] = []
+    MADE.append(own)
+    try:
+        yield own
+    finally:
+        MADE.remove(own)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    Row groups are small, because each open file holds one in memory.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**{"parquet.block.size": 16 << 20, **options}).parquet(path)
+    for own in MADE:
+        own.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, of: str, *, weight: str, total: int, how: str = "inner", shares: int = 1000) -> DataFrame:
+    """``rows`` joined on ``key`` with ``table``, which has each value of ``of`` once and in ``weight`` how many rows have it.
+
+    Keys with more than a ``shares``-th of the ``total`` rows are at most ``shares`` in number, so those are broadcast,
+    and no task gets a crowded key; the others are joined by shuffle. Columns of the two differ in name.
+    """
+    heavy = F.col(weight) * shares > total
+    marked = rows.join(F.broadcast(table.where(heavy)), F.col(key) == F.col(of), "left")
+    rest = marked.where(F.col(of).isNull()).select(*rows.columns).join(table.where(~heavy), F.col(key) == F.col(of), how)
+    return marked.where(F.col(of).isNotNull()).unionByName(rest)
+
+
 @contextlib.contextmanager
 def without_gc():
     """The caches are many small objects without cycles; searching them for cycles again and again costs more than the work."""
@@ -221,7 +271,7 @@ class ChunkTable:
     generations, each of ``limit`` chunks and ``most`` bytes at most, so that common chunks stay.
     """
 
-    def __init__(self, pieces, dtype: str, *, lead: bool, blank: bytes = b"", limit: int = 600_000, most: int = 24 << 20, slice_bytes: int = 4 << 20):
+    def __init__(self, pieces, dtype: str, *, lead: bool, blank: bytes = b"", limit: int = 600_000, most: int = 24 << 20, slice_bytes: int = 2 << 20):
         self.pieces, self.dtype, self.lead, self.blank, self.limit, self.most, self.slice_bytes = pieces, np.dtype(dtype), lead, blank, limit, most, slice_bytes
         self.known, self.before = Known(self.dtype), Known(self.dtype)
 

@@ -1,16 +1,20 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries are made from a bounded labelled sample: one of ordinary text, one of the same ordinary
-text after passages of toxic documents. The passages are the words that stand in more toxic than ordinary documents
-than chance explains, because a toxic document is ordinary text for the most part. A text is cut into windows of one
-lower-cased word with its borders; a window's gain is by how many bytes the toxic dictionary's form is shorter. Each
-character is spread over eight bytes first, so that a word that is known as a whole saves several matches; ordinary
-words then have a gain of 0 with few exceptions.
-
-How many windows reach each of some thresholds, the largest gains and their mean are weighed by a logistic model
-that is fitted on the sample with each label's true weight; the cut that gives the best F1 there becomes ``THRESHOLD``
-of the score. All windows of a text are counted. Nulls and texts without letters have no window. With only one label to
-learn from, every score is 0. Equal texts get equal scores; outputs replace input columns of the same name.
+Two Zstandard dictionaries are trained (by the library's cover algorithm, with entropy tables) on a bounded labelled
+sample. The ordinary one is trained on windows of ordinary documents. A toxic document is ordinary text for the most
+part, so the toxic one is trained on its passages: stretches from a word's beginning whose bytes stand in more toxic
+than ordinary documents than chance explains. It holds the ordinary dictionary's content as well, after its own, so that
+ordinary text is compressed alike by both and a difference in length tells of toxic text.
+
+A text is lower-cased and cut into overlapping windows of ``window`` bytes, whatever their words; all are compressed
+with both dictionaries, and a window's gain is by how many bytes the toxic form is shorter. How many windows reach each
+of some gains, the largest gain and the mean are weighed by a logistic model with each label's true weight. It is
+fitted, and its cut chosen (by the F measure that counts recall twice), on gains of rows that the dictionaries which gave them had not seen:
+each of ``folds`` parts of the sample is scored by dictionaries of the others. The cut becomes ``THRESHOLD`` of the score.
+
+All windows of a text are counted. Nulls and texts that are empty have no window. With only one label to
+learn from, every score is 0. Equal texts get equal scores; outputs replace input columns of the same name. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,30 +33,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import label_counts, labelled_texts
-from .shared import ChunkTable, once, small_batches
+from .shared import give_back, once, small_batches
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: Odd numbers that spread a character over bytes (fixed values, from published hash functions).
-SPREAD = np.array([2654435761, 2246822519], np.uint32)
-GAINS = (1, 2, 4, 7)
 THRESHOLD = 0.7
 OUTPUTS = ("score", "max_gain", "n_windows")
+#: Bytes of the ASCII letters in lower case and of all that is not ASCII count as letters.
+NOT_LETTERS = re.compile(rb"[^a-z\x80-\xff]+")
+IS_LETTER = np.array([97 <= c < 123 or c >= 128 for c in range(256)])
+#: How many bytes of a word's beginning are looked at, the blank before it included.
+LENGTHS = (5, 6, 7, 8, 10, 12)
+GAINS = (1, 2, 3, 4, 5, 6, 8)
+#: Gains are counted from LEAST to MOST; those beyond count as these.
+LEAST, MOST = -1, 24
+#: What a trained dictionary begins with (a fixed value of the format).
+MAGIC = (0xEC30A437).to_bytes(4, "little")
+#: Where the content of a dictionary begins: after its three first offsets, which the library always sets so.
+OFFSETS = b"".join(x.to_bytes(4, "little") for x in (1, 4, 8))
 
 
-def words(text: str) -> list[str]:
-    return NOT_LETTERS.sub(" ", text.lower()).split()
+def prepared(text: str) -> bytes:
+    return f" {text.lower()} ".encode("utf-8", "surrogatepass")
 
 
-def spread(text: str) -> bytes:
-    return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")[:, None] * SPREAD).tobytes()
+def windows(size: int, window: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths; the last one ends with the text, as long as the others (short ones would be stored as they are)."""
+    starts = np.minimum(np.arange(0, max(1, size - window + step), step), max(0, size - window))
+    return starts, np.minimum(window, size - starts)
 
 
 @dataclass
 class Toxicity:
-    """What is learned: two dictionaries (as text, before spreading) and the weights of the features."""
+    """What is learned: two dictionaries and the weights of the features."""
 
-    ordinary: str = ""
-    toxic: str = ""
+    ordinary: bytes = b""
+    toxic: bytes = b""
+    window: int = 40
+    step: int = 24
     mean: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
@@ -59,106 +76,204 @@ class Toxicity:
 
 
 class Gains:
-    """One worker's window gains: chunk of text -> a signed byte for each word."""
-
-    def __init__(self, model: Toxicity, limit: int = 100_000):
-        self.plain, self.toxic = self._press(model.ordinary), self._press(model.toxic + model.ordinary)
-        self.limit, self.known, self.before = limit, {}, {}
-        self.table = ChunkTable(self, "i1", lead=False)
-
-    @staticmethod
-    def _press(text: str):
-        raw = spread(text)
-        how = zstandard.ZstdCompressionParameters.from_level(12, source_size=256, dict_size=len(raw), strategy=zstandard.STRATEGY_BTOPT, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
-        if len(raw) < 8:
-            return zstandard.ZstdCompressor(compression_params=how).compress
-        known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    """Window gains of texts by a pair of dictionaries."""
+
+    def __init__(self, model: Toxicity):
+        self.window, self.step = model.window, model.step
+        self.presses = [self._press(d) for d in (model.ordinary, model.toxic)]
+
+    def _press(self, dictionary: bytes) -> zstandard.ZstdCompressor:
+        # binary trees find the longest match; a greedy search differs between dictionaries by more than a word saves
+        how = zstandard.ZstdCompressionParameters.from_level(
+            12, source_size=self.window, dict_size=len(dictionary), strategy=zstandard.STRATEGY_BTLAZY2, search_log=5, target_length=16, min_match=5,
+            write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+        )
+        if len(dictionary) < 8:
+            return zstandard.ZstdCompressor(compression_params=how)
+        known = zstandard.ZstdCompressionDict(dictionary)
         known.precompute_compress(compression_params=how)
-        return zstandard.ZstdCompressor(compression_params=how, dict_data=known).compress
-
-    def gain(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            found = self.before.get(word)
-            if found is None:
-                window = spread(f" {word} ")
-                found = bytes([max(-128, min(127, len(self.plain(window)) - len(self.toxic(window)))) & 0xFF])
-            if len(word) <= 48:
-                if len(self.known) >= self.limit:
-                    self.known, self.before = {}, self.known
-                self.known[word] = found
-        return found
-
-    def join(self, text: str) -> bytes:
-        return b"".join(map(self.gain, words(text)))
-
-    def join_each(self, texts: list[str]) -> list[bytes]:
-        return [*map(self.join, texts)]
-
-
-def features(gains: np.ndarray) -> list[float]:
-    n = len(gains)
-    if not n:
-        return [0.0] * (4 + 2 * len(GAINS))
-    top = -np.partition(-gains.astype(np.int64), min(3, n) - 1)[: min(3, n)]
-    counts = [int((gains >= g).sum()) for g in GAINS]
-    return [min(30.0, float(top.max())), min(30.0, float(top.mean())), float(np.maximum(gains, 0).mean()), *map(math.log1p, counts), *(math.log((c + 0.3) / (n + 3)) for c in counts), math.log(n)]
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1600, chars: int = 8000, ordinary_chars: int = 24_000, toxic_chars: int = 8000, surprise: float = 5.0) -> Toxicity:
-    """Learns from at most ``per_class`` rows of each label (1: toxic), ``chars`` characters of each."""
-    counts = label_counts(labels, label)
-    rows = labelled_texts(docs, labels, label=label, key=key, text=text, per_class=per_class, chars=chars)
-    texts = [words(r["text"]) for r in rows]
-    y = np.array([r["label"] for r in rows], float)
-    if len({*y}) < 2:
-        return Toxicity()
-    within: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for own, kind in zip(texts, y, strict=True):
-        within[int(kind)].update({*own})
-    p, n = int(y.sum()), int((1 - y).sum())
-
-    def unlikely(word: str) -> float:
-        a, b = within[1][word], within[0][word]
-        share = (a + b) / (p + n)
-        return (a / p - b / n) / math.sqrt(max(share * (1 - share), 1e-9) * (1 / p + 1 / n))
-
-    strength = {w: unlikely(w) for w, c in within[1].items() if c >= 3}
-    least = min(surprise, 0.75 * max(strength.values(), default=0.0))  # in small samples nothing is that surprising
-    passages = sorted((w for w in strength if strength[w] >= max(2.0, least)), key=lambda w: (strength[w], w))
-    frequent = sorted(within[0], key=lambda w: (within[0][w], w))
-    model = Toxicity(" ".join(frequent)[-ordinary_chars:], "".join(f" {w} " for w in passages)[-toxic_chars:])
-    gains = Gains(model)
-    x = np.array([features(np.frombuffer(b"".join(map(gains.gain, own)), np.int8)) for own in texts])
+        return zstandard.ZstdCompressor(compression_params=how, dict_data=known)
+
+    def of(self, raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        cuts = zstandard.BufferWithSegments(raw, np.stack((starts, sizes), 1).astype("<u8").tobytes())
+        plain, toxic = (press.multi_compress_to_buffer(cuts) for press in self.presses)
+        n = len(starts)
+        return np.fromiter((len(plain[i]) - len(toxic[i]) for i in range(n)), np.int64, n)
+
+    def counts(self, texts: Iterable[str | None], at_once: int = 1 << 18) -> Iterator[np.ndarray]:
+        """For each text how many windows have each gain from LEAST to MOST. About ``at_once`` bytes are held."""
+        held, size = [], 0
+        for text in texts:
+            raw = prepared(text) if text else b""
+            held.append(raw)
+            size += len(raw)
+            if size >= at_once:
+                yield from self._counts(held, at_once)
+                held, size = [], 0
+        yield from self._counts(held, at_once)
+
+    def _counts(self, raws: list[bytes], at_once: int) -> np.ndarray:
+        kinds = MOST - LEAST + 1
+        total = np.zeros(len(raws) * kinds, np.int64)
+        jobs: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # (row, where it starts in the joint text, windows)
+        base = 0
+        for row, raw in enumerate(raws):
+            if raw:
+                jobs.append((row, base, *windows(len(raw), self.window, self.step)))
+            base += len(raw)
+        if jobs:
+            joint = b"".join(raws)
+            starts = np.concatenate([s + b for _, b, s, _ in jobs])
+            sizes = np.concatenate([z for *_, z in jobs])
+            rows = np.repeat([r for r, *_ in jobs], [len(s) for *_, s, _ in jobs])
+            most = max(1, at_once // self.step)
+            for at in range(0, len(starts), most):  # one very long text has many
+                gains = np.clip(self.of(joint, starts[at : at + most], sizes[at : at + most]), LEAST, MOST)
+                total += np.bincount(rows[at : at + most] * kinds + gains - LEAST, minlength=len(total))
+        return total.reshape(len(raws), kinds)
+
+
+def features(counts: np.ndarray) -> np.ndarray:
+    """Of each row of counts by gain; zeros where there is no window."""
+    gains = np.arange(LEAST, MOST + 1)
+    n = counts.sum(1).astype(float)
+    largest = np.where(counts > 0, gains, 0).max(1)
+    reached = np.stack([counts[:, gains >= g].sum(1) for g in GAINS], 1)
+    x = np.c_[largest, counts @ np.maximum(gains, 0) / np.maximum(n, 1), np.log1p(reached), np.log((reached + 0.3) / (n + 3)[:, None]), np.log1p(n)]
+    return np.where(n[:, None] > 0, x, 0.0)
+
+
+# -- learning
+
+
+def beginnings(raw: bytes) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Where words begin (their blank), and for each of LENGTHS the hash of as many bytes from there (0: past the end)."""
+    own = np.frombuffer(raw, np.uint8)
+    letter = IS_LETTER[own]
+    at = np.flatnonzero(~letter[:-1] & letter[1:])
+    padded = np.concatenate((own, np.zeros(max(LENGTHS), np.uint8))).astype(np.uint64)
+    hashes, total = {}, np.zeros(len(at), np.uint64)
+    for i in range(max(LENGTHS)):
+        total = (total ^ (padded[at + i] if i else np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i)
+        if i + 1 in LENGTHS:
+            hashes[i + 1] = np.where(at + i < len(own), total, 0)
+    return at, hashes
+
+
+class Sample:
+    """A labelled sample: prepared texts with their beginnings and words, so that folds don't make them again."""
+
+    def __init__(self, texts: list[str], y: np.ndarray):
+        self.raws, self.y = [*map(prepared, texts)], y
+        self.begins = [beginnings(raw) for raw in self.raws]
+        self.words = [{*NOT_LETTERS.split(raw)} for raw in self.raws]
+
+    def passages(self, rows: np.ndarray, surprise: float, times: float) -> list[bytes]:
+        """Words of toxic rows whose beginning is surprisingly frequent there, and at least ``times`` as frequent as in ordinary ones."""
+        kinds = [rows[self.y[rows] == k] for k in (0, 1)]
+        n, p = map(len, kinds)
+        chosen = {i: np.zeros(len(self.begins[i][0]), bool) for i in kinds[1]}
+        for length in LENGTHS:
+            (plain, b), (toxic, a) = (np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(self.begins[i][1][length]) for i in own)]), return_counts=True) for own in kinds)
+            place = np.searchsorted(plain, toxic)
+            b = np.where(np.append(plain, 0)[place] == toxic, np.append(b, 0)[place], 0)
+            share = (a + b) / (p + n)
+            unlikely = (a / p - b / n) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / p + 1 / n))
+            found = toxic[(unlikely >= surprise) & (a >= 3) & (a / p > times * (b + 0.5) / n) & (toxic != 0)]
+            for i, marks in chosen.items():
+                marks |= np.isin(self.begins[i][1][length], found)
+        toxic_in, plain_in = Counter(), Counter()
+        for counter, own in ((plain_in, kinds[0]), (toxic_in, kinds[1])):
+            for i in own:
+                counter.update(self.words[i])
+        out = []
+        for i, marks in chosen.items():
+            for at in self.begins[i][0][marks].tolist():
+                word = NOT_LETTERS.split(self.raws[i][at + 1 : at + 65], maxsplit=1)[0]
+                if toxic_in[word] / p > times * (plain_in[word] + 0.5) / n:
+                    out.append(b" " + word + b" ")
+        return out
+
+    def dictionaries(self, rows: np.ndarray, model: Toxicity, ordinary_bytes: int, toxic_bytes: int, surprise: float, times: float) -> Toxicity:
+        rng = np.random.default_rng(7)
+        plain = [self.raws[i] for i in rows if self.y[i] == 0]
+        pieces = [raw[at : at + model.window] for raw in plain for at in range(0, len(raw), model.window)]
+        pieces = [pieces[i] for i in rng.permutation(len(pieces))[: ordinary_bytes]]
+        ordinary = trained(pieces, ordinary_bytes)
+        passages = self.passages(rows, surprise, times)
+        toxic = content(trained(passages, toxic_bytes, 128))
+        cut = [p for p, _ in Counter(passages).most_common()[::-1] if p not in toxic]  # the trainer takes segments, which end within words
+        toxic = b"".join(cut)[-toxic_bytes:] + toxic
+        head = len(ordinary) - len(content(ordinary))
+        return Toxicity(ordinary, ordinary[:head] + toxic + ordinary[head:], model.window, model.step)
+
+
+def trained(samples: list[bytes], size: int, segment: int = 32) -> bytes:
+    """A dictionary of the samples, made of segments of about so many bytes; of too few to train on, their own bytes."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=6, level=16).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def content(dictionary: bytes) -> bytes:
+    """What a dictionary holds besides its header and entropy tables; raw content has neither."""
+    if not dictionary.startswith(MAGIC):
+        return dictionary
+    return dictionary[dictionary.index(OFFSETS) + len(OFFSETS) :]
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1600, max_bytes: int = 16 << 20, window: int = 40, step: int = 24, ordinary_bytes: int = 1 << 16, toxic_bytes: int = 1 << 14, surprise: float = 4.5, times: float = 3.0, folds: int = 6) -> Toxicity:
+    """Learns from whole texts of at most ``per_class`` rows and ``max_bytes`` bytes of each label (1: toxic)."""
+    weights = label_counts(labels, label)
+    rows = labelled_texts(docs, labels, label=label, key=key, text=text, per_class=per_class, max_bytes=max_bytes)
+    return learned([r["text"] for r in rows], np.array([r["label"] for r in rows], int), weights, Toxicity(window=window, step=step), (ordinary_bytes, toxic_bytes, surprise, times), folds)
+
+
+def learned(texts: list[str], y: np.ndarray, weights: dict[int, int], shape: Toxicity, how: tuple, folds: int) -> Toxicity:
+    if min((y == 0).sum(), (y == 1).sum()) < 1:
+        return Toxicity(window=shape.window, step=shape.step)
+    sample = Sample(texts, y)
+    fold = np.zeros(len(y), int)
+    for k in (0, 1):
+        fold[y == k] = np.arange((y == k).sum()) % folds
+    x = np.zeros((len(y), features(np.zeros((1, MOST - LEAST + 1), int)).shape[1]))
+    for f in range(folds):
+        rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        if len({*y[rest].tolist()}) == 2 and len(own):
+            gains = Gains(sample.dictionaries(rest, shape, *how))
+            x[own] = features(np.stack([*gains.counts(texts[i] for i in own)]))
+    model = sample.dictionaries(np.arange(len(y)), shape, *how)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     x = np.c_[(x - mean) / scale, np.ones(len(x))]
-    share = np.where(y == 1, counts[1] / p, counts[0] / n)  # each row stands for so many
+    share = np.where(y == 1, weights[1] / (y == 1).sum(), weights[0] / (y == 0).sum())  # each row stands for so many
     share = share / share.mean()
     w = np.zeros(x.shape[1])
     for _ in range(50):
         guess = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         curve = x.T @ (x * (share * guess * (1 - guess))[:, None]) + np.eye(len(w))
-        step = np.linalg.solve(curve, x.T @ (share * (y - guess)) - w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+        move = np.linalg.solve(curve, x.T @ (share * (y - guess)) - w)
+        w = w + move
+        if np.abs(move).max() < 1e-8:
             break
     guess = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
     order = np.argsort(-guess, kind="stable")
     hits, taken = np.cumsum((share * y)[order]), np.cumsum(share[order])
-    f1 = 2 * hits / (taken + (share * y).sum())
-    best = int(np.argmax(f1))
+    best = int(np.argmax(3 * hits / (taken + 2 * (share * y).sum())))
     low = guess[order][best + 1] if best + 1 < len(order) else 0.0
     model.mean, model.scale, model.weights = mean.tolist(), scale.tolist(), w.tolist()
     model.cut = float(np.clip((guess[order][best] + low) / 2, 0.05, 0.95))
     return model
 
 
-def score(model: Toxicity, gains: np.ndarray) -> float:
+def scores(model: Toxicity, counts: np.ndarray) -> np.ndarray:
+    """0 to 1; the model's cut is at THRESHOLD."""
     if not model.weights:
-        return 0.0
-    x = (np.array(features(gains)) - model.mean) / model.scale
-    p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ model.weights[:-1]) + model.weights[-1]))))
-    return THRESHOLD * p / model.cut if p < model.cut else THRESHOLD + (1 - THRESHOLD) * (p - model.cut) / (1 - model.cut)
+        return np.zeros(len(counts))
+    x = np.c_[(features(counts) - model.mean) / model.scale, np.ones(len(counts))]
+    p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
+    p = np.where(counts.sum(1) > 0, p, np.minimum(p, model.cut / 2))  # nothing was seen that could be toxic
+    return np.where(p < model.cut, THRESHOLD * p / model.cut, THRESHOLD + (1 - THRESHOLD) * (p - model.cut) / (1 - model.cut))
 
 
 def scored(df: DataFrame, model: Toxicity, *, text: str = "text") -> DataFrame:
@@ -167,12 +282,14 @@ def scored(df: DataFrame, model: Toxicity, *, text: str = "text") -> DataFrame:
 
     small_batches(df.sparkSession)
     key = hashlib.sha256(repr(model).encode()).hexdigest()
-    sent = df.sparkSession.sparkContext.broadcast(model)  # some ten thousand characters
+    sent = df.sparkSession.sparkContext.broadcast(model)  # both dictionaries, some ten thousand bytes
 
     @F.arrow_udf("struct<score: double, max_gain: int, n_windows: bigint>")
     def run(texts: pa.Array) -> pa.Array:
         gains = once(("toxicity", key), lambda: Gains(sent.value))
-        rows = [(score(sent.value, g), int(g.max(initial=0)), len(g)) for g in gains.table.each(texts)]
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.float64(), pa.int32(), pa.int64()))], names=list(OUTPUTS))
+        counts = np.stack([*gains.counts(x.as_py() for x in texts)]) if len(texts) else np.zeros((0, MOST - LEAST + 1), int)
+        largest = np.where(counts > 0, np.arange(LEAST, MOST + 1), 0).max(1)
+        give_back()
+        return pa.StructArray.from_arrays([pa.array(scores(sent.value, counts)), pa.array(largest.astype(np.int32)), pa.array(counts.sum(1))], names=list(OUTPUTS))
 
     return unpacked(df, run(F.col(text)), OUTPUTS)

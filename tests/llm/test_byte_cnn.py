@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pytest
 
 from pairloom.llm import byte_cnn
 from pairloom.llm.learning import remainder
@@ -45,10 +47,43 @@ def test_blocks_change_nothing():
         assert chunks == len(tops) and np.allclose(highest, tops.max(0), atol=1e-4) and np.allclose(mean, tops.mean(0), atol=1e-4)
 
 
+def plain_score(net, text):
+    """Every chunk by itself: places of all its bytes, maximum by chunk, then maximum and mean over the document."""
+    raw = [*(text or "").encode()]
+    raw += [0] * (net.width - len(raw))
+    places = [np.concatenate([net.embedding[b] for b in raw[i : i + net.width]]) @ net.filters for i in range(len(raw) - net.width + 1)]
+    tops = [np.maximum(np.max(places[a : a + net.chunk], axis=0) + net.bias, 0) for a in range(0, len(places), net.chunk)]
+    z = float(np.concatenate((np.max(tops, axis=0), np.mean(tops, axis=0))) @ net.out + net.shift)
+    p = 1 / (1 + np.exp(-max(-30, min(30, z))))
+    return 0.3 * p / net.cut if p < net.cut else 0.3 + 0.7 * (p - net.cut) / (1 - net.cut)
+
+
+def test_learns_from_the_end_of_long_texts(spark):
+    rng = random.Random(3)
+    filler = ["".join(rng.choices(["ba", "ko", "li", "ren", "tos"], k=2)) for _ in range(400)]
+    rows = [(i, " ".join(rng.choices(filler, k=1200)) + (" !!QX!! ZORT!!" if i % 3 == 0 else ""), int(i % 3 != 0)) for i in range(150)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(8)
+    got = byte_cnn.scored(learn, byte_cnn.fit(learn, learn, epochs=8)).collect()
+    assert sum((r.score >= byte_cnn.THRESHOLD) == (r.quality == 1) for r in got) >= 0.95 * len(got)
+
+
 def test_held_out(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("out", remainder("doc_id", 5) == 0)
+    found = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    net = byte_cnn.fit(docs, found.where(remainder("doc_id", 5) != 0))
     got = {r.doc_id: r for r in QUERIES["op8_byte_cnn"](spark, sf_dir).collect()}
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("out", remainder("doc_id", 5) == 0).collect()
+    docs = docs.collect()
     assert len(got) == len(docs) and all(got[d.doc_id].held_out == d.out for d in docs)
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    for d in docs[:60]:
+        assert abs(got[d.doc_id].score - plain_score(net, d.text)) < 1e-3 and got[d.doc_id].predicted == int(got[d.doc_id].score >= 0.3)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the larger tables")
+def test_recall_on_held_out_rows(spark):
+    where = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in QUERIES["op8_byte_cnn"](spark, where).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
     out = [got[k] for k in labels if k in got and got[k].held_out]
-    assert sum(r.predicted == labels[r.doc_id] for r in out) >= 0.8 * len(out)
+    good, bad = ([r for r in out if labels[r.doc_id] == k] for k in (1, 0))
+    assert sum(r.predicted for r in good) >= 0.95 * len(good)
+    assert sum(1 - r.predicted for r in bad) >= 0.85 * len(bad)

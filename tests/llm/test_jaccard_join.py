@@ -62,6 +62,37 @@ def test_against_brute_force(spark, k, percent, blocks):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == by_hand(rows, k, percent)
 
 
+def test_crowded_keys_and_groups(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(1500):
+        copy = base[:]
+        if i % 3:
+            copy[59] = f"x{rng.randint(0, 400)}"
+        rows.append((i, " ".join(copy)))
+    rows += [*enumerate(texts(9, 300), 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    exploded = jaccard_join.with_sets(df, text="text", k=3, rule=jaccard_join.Rule(90), outputs=("node", "keys")).selectExpr("explode(keys) AS key", "node AS rep")
+    assert jaccard_join.crowded_keys(exploded, every=4).count() > 0
+    got = jaccard_join.join(df, group_block=128, block_bytes=1 << 16).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == by_hand(rows, 3, 90)
+
+
+def test_long_texts_in_small_blocks(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    rows = [(i, " ".join([*words[: 30_000 - i], "z"])) for i in range(6)] + [(9, "one two three four")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.n_links) for r in jaccard_join.join(df, block_bytes=1 << 19).collect())
+    assert got == [(i, 0, 5) for i in range(6)] + [(9, 9, 0)]
+
+
+def test_sets_of_one_hash_are_told_apart(spark):
+    df = spark.createDataFrame([(7, 1), (7, 2), (8, 3)], "node long, check long")
+    nodes = [r.node for r in jaccard_join.told_apart(df, [7]).collect()]
+    assert len({*nodes}) == 3 and nodes[2] == 8
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 1), (None, "a b c d e f", 1), (2, "a b c d e f", 1), (3, "x " * 100_000, 1), (4, None, 1)], "doc_id long, text string, component_id int")
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect()), key=str)

@@ -16,9 +16,35 @@ def test_frames(spark):
     assert {r.lang_pred for r in langid.identified(df, []).collect()} == {"und"}
 
 
+def plain_choice(dictionaries, text):
+    if text is None or not any(c.isalpha() for c in text):
+        return "und"
+    raw, sizes = text.lower().encode(), []
+    for name, dictionary in dictionaries:
+        press = langid.Languages([(name, dictionary)], 6, 4096).presses[0]
+        total, at = 0, 0
+        while at < len(raw):
+            total += len(press(raw[at : at + 4096]))
+            at += 4096
+        sizes.append(total)
+    return dictionaries[sizes.index(min(sizes))][0]
+
+
+def test_learns_from_the_end_of_long_texts(spark):
+    junk = "0123456789 " * 900
+    rows = [(i, junk + t * 60, lang) for i in range(60) for lang, t in (("aa", "the quick brown fox jumps over the lazy dog "), ("bb", "el perro come la comida en la casa grande "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    tests = [(1, "a lazy brown dog jumps over the fox " * 3), (2, "la casa grande come en la comida " * 3)]
+    assert [r.lang_pred for r in langid.identified(spark.createDataFrame(tests, "doc_id long, text string").coalesce(1), model).collect()] == ["aa", "bb"]
+
+
 def test_held_out_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("out", remainder("doc_id", 4) == 2)
+    model = langid.fit(docs.where("NOT out"))
     got = {r.doc_id: r for r in QUERIES["op10_langid"](spark, sf_dir).collect()}
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("out", remainder("doc_id", 4) == 2).collect()
+    docs = docs.collect()
     assert len(got) == len(docs) and all(got[d.doc_id].held_out == d.out for d in docs)
+    assert all(got[d.doc_id].lang_pred == plain_choice(model, d.text) for d in docs)
     out = [d for d in docs if d.out]
     assert sum(got[d.doc_id].lang_pred == d.lang for d in out) >= 0.95 * len(out)

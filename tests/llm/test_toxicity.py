@@ -1,7 +1,12 @@
+import os
 import random
 
+import numpy as np
+import pytest
+import zstandard
+
 from pairloom.llm import toxicity
-from pairloom.llm.learning import remainder
+from pairloom.llm.learning import labelled_texts, remainder
 from pairloom.llm.queries import QUERIES
 
 
@@ -19,26 +24,90 @@ def made(n, seed):
     return out
 
 
-def test_learned_words_are_found(spark):
+def plain_counts(model, text):
+    """Each window compressed by itself, by plain calls of the library."""
+    counts = [0] * (toxicity.MOST - toxicity.LEAST + 1)
+    raw = f" {text.lower()} ".encode() if text else b""
+    gains = toxicity.Gains(model)
+    at = 0
+    while raw:
+        at = min(at, max(0, len(raw) - model.window))
+        window = raw[at : at + model.window]
+        gain = len(gains.presses[0].compress(window)) - len(gains.presses[1].compress(window))
+        counts[max(toxicity.LEAST, min(toxicity.MOST, gain)) - toxicity.LEAST] += 1
+        if at + model.window >= len(raw):
+            break
+        at += model.step
+    return counts
+
+
+def plain_score(model, counts):
+    n, gains = sum(counts), range(toxicity.LEAST, toxicity.MOST + 1)
+    if not n:
+        x = [0.0] * len(model.mean)
+    else:
+        reached = [sum(c for c, g in zip(counts, gains, strict=True) if g >= least) for least in toxicity.GAINS]
+        x = [max(max(g for c, g in zip(counts, gains, strict=True) if c), 0), sum(c * max(g, 0) for c, g in zip(counts, gains, strict=True)) / n]
+        x += [np.log1p(r) for r in reached] + [np.log((r + 0.3) / (n + 3)) for r in reached] + [np.log1p(n)]
+    z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale, strict=False)) + model.weights[-1]
+    p = 1 / (1 + np.exp(-max(-30, min(30, z))))
+    p = p if n else min(p, model.cut / 2)
+    return 0.7 * p / model.cut if p < model.cut else 0.7 + 0.3 * (p - model.cut) / (1 - model.cut)
+
+
+def test_learned_passages_are_found(spark):
     schema = "doc_id long, text string, toxic int, score string"
     learn = spark.createDataFrame(made(800, 1), schema)
     model = toxicity.fit(learn.drop("toxic"), learn.select("doc_id", "toxic"))
+    assert model.ordinary.startswith(toxicity.MAGIC) and model.toxic.startswith(toxicity.MAGIC)  # trained ones
+    assert all(any(x in model.toxic for x in (word[:5], word[-5:])) for word in (b"vermin", b"wretched", b"imbecile")) and b"ermin" not in model.ordinary
     test = made(300, 2)
     got = toxicity.scored(spark.createDataFrame(test, schema), model).collect()
     assert sum((r.score >= toxicity.THRESHOLD) == (r.toxic == 1) for r in got) >= 0.97 * len(got)
-    odd = [(1, None), (2, ""), (3, "12 .,;"), (4, "ba ko li " * 60_000 + "vermin"), (5, "You VERMIN!!! wretched"), (5, "You VERMIN!!! wretched")]
+    for r, (_, text, _, _) in zip(sorted(got, key=lambda r: r.doc_id)[:60], test, strict=False):
+        assert r.score == pytest.approx(plain_score(model, plain_counts(model, text)), abs=1e-9)
+    odd = [(1, None), (2, ""), (3, "12 .,;"), (4, "ba ko li " * 60_000 + "wretched vermin, imbecile"), (5, "You VERMIN!!! wretched"), (5, "You VERMIN!!! wretched")]
     rows = toxicity.scored(spark.createDataFrame(odd, "doc_id long, text string").coalesce(1), model).collect()
-    assert all(0 <= r.score <= 1 for r in rows) and [r.n_windows for r in rows] == [0, 0, 0, 180_001, 3, 3]
+    assert all(0 <= r.score <= 1 for r in rows) and [r.n_windows for r in rows] == [sum(plain_counts(model, t)) for _, t in odd]
     assert rows[3].max_gain > 0 and rows[4].score >= 0.7 and rows[4] == rows[5] and max(r.score for r in rows[:3]) < 0.7
     empty = spark.createDataFrame([], schema)
     assert toxicity.scored(empty, toxicity.fit(empty, empty)).count() == 0
+    one_label = learn.where("toxic = 0")
+    assert {r.score for r in toxicity.scored(one_label, toxicity.fit(one_label, one_label)).collect()} == {0.0}
+
+
+def test_learns_from_the_end_of_long_texts(spark):
+    rng = random.Random(3)
+    filler = ["".join(rng.choices(["ba", "ko", "li", "ren", "tos"], k=2)) for _ in range(400)]
+    rows = [(i, " ".join(rng.choices(filler, k=2500)) + (" vermin wretched" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(160)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(8)
+    model = toxicity.fit(learn, learn)
+    got = toxicity.scored(learn, model).collect()
+    assert sum((r.score >= toxicity.THRESHOLD) == (r.toxic == 1) for r in got) >= 0.95 * len(got)
+    sample = labelled_texts(learn, learn, label="toxic", per_class=64, max_bytes=1 << 20)
+    assert {r.text for r in sample} <= {t for _, t, _ in rows} and sum(len(r.text) for r in sample) <= 2 << 20
+
+
+def test_unknown_dictionaries():
+    raw = toxicity.trained([b"abc"], 4096)
+    assert raw == b"abc" and toxicity.content(raw) == raw
+    whole = zstandard.train_dictionary(4096, [bytes([i % 251]) * 3 + b"some shared content" for i in range(2000)], k=32, d=6).as_bytes()
+    assert whole.endswith(toxicity.content(whole)) and len(toxicity.content(whole)) < len(whole)
 
 
 def test_held_out(spark, sf_dir):
     got = {r.doc_id: r for r in QUERIES["op1_toxicity"](spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("out", remainder("doc_id", 3) == 1).collect()
     assert len(got) == len(docs) and all(got[d.doc_id].held_out == d.out for d in docs)
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    assert all(r.predicted == int(r.score >= 0.7) for r in got.values())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the larger tables")
+def test_recall_on_held_out_rows(spark):
+    where = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in QUERIES["op1_toxicity"](spark, where).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
     out = [got[k] for k in labels if k in got and got[k].held_out]
-    clean = [r for r in out if labels[r.doc_id] == 0]
-    assert sum(r.predicted for r in clean) <= 0.1 * len(clean)
+    toxic, clean = ([r for r in out if labels[r.doc_id] == k] for k in (1, 0))
+    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
