@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to the token ids of a mix of sources.
 
 Each stage takes all that the one before it kept, as a Parquet table in the shared folder. Rows with nulls, empty
-texts, repeated rows and extra columns pass through as the operators say.
+texts, repeated rows and extra columns pass through as the operators say. Where the labels have one value or none there
+is nothing to learn: the quality classifier then keeps every document, and so does the toxicity filter.
 """
 
 from __future__ import annotations
@@ -13,27 +14,30 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import byte_bpe, byte_cnn, fair_mix, jaccard_join, toxicity
 from pairloom.llm.learning import remainder
-from pairloom.llm.shared import vocabulary, written
+from pairloom.llm.shared import removed, tables_made, vocabulary, written
 
 
-def chosen(docs: DataFrame, scored: Callable[[DataFrame], DataFrame], keep: Column) -> DataFrame:
-    """The rows of ``docs``, with all their columns as they are, whose score satisfies ``keep``."""
-    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col("text").alias("text"))
-    return scored(rows).where(keep).select("_row.*")
+def chosen(docs: DataFrame, scored: Callable[[DataFrame, str], DataFrame], keep: Column) -> DataFrame:
+    """The rows of ``docs``, with all their columns as they are, whose score satisfies ``keep``.
+
+    The columns get other names meanwhile, so that none is that of an output; each travels once.
+    """
+    names = [f"_{i}_{c}" for i, c in enumerate(docs.columns)]
+    return scored(docs.toDF(*names), names[docs.columns.index("text")]).where(keep).select(*(F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good; it learns from four fifths of the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = byte_cnn.fit(docs, labels.where(remainder("doc_id", 5) != 0))
-    return chosen(docs, lambda rows: byte_cnn.scored(rows, net), F.col("score") >= byte_cnn.THRESHOLD)
+    return chosen(docs, lambda rows, text: byte_cnn.scored(rows, net, text=text), F.col("score") >= byte_cnn.THRESHOLD)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; the dictionaries come from two thirds of the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(remainder("doc_id", 3) != 1))
-    return chosen(docs, lambda rows: toxicity.scored(rows, model), F.col("score") < toxicity.THRESHOLD)
+    return chosen(docs, lambda rows, text: toxicity.scored(rows, model, text=text), F.col("score") < toxicity.THRESHOLD)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Tables that a later stage no longer reads are removed on the way."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with tables_made() as made:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        removed(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
