@@ -13,28 +13,40 @@ undecided after the last slice tie exactly, and the smallest ids of them fill up
 are the exact scores. The best of all blocks are merged for each query.
 
 Queries are dealt over blocks too; every block of rows meets every block of queries, as a search over all rows must,
-and only what a block selects moves on. Vectors that are null or empty, hold a null or non-finite component or one of
-2**23 or more in magnitude, or have a null id, take no part; only vectors of one length are compared. Rows with
+and only what a block selects moves on. Vectors that are null or empty, hold a null or non-finite component, or have a
+null id, take no part; only vectors of one length are compared. Integers and sums are exact at any magnitude; vectors with
+large components have blocks of their own, with more slices. A score beyond a long is told as the nearest long, and
+ranked by its logarithm. Rows with
 the query's id are not its candidates. Repeated rows are candidates each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+LONG = (1 << 63) - 1
 INDEX = "dim int, block int, n int, bits int, ids binary, slices binary"
 
 
-def integer_vectors(df: DataFrame, *, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """vec_id, dim, ints of the vectors that take part."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    fine = F.col(vec_id).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float(1 << 23), F.lit(False)))
-    rows = df.where(fine).select(F.col(vec_id).cast("bigint").alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x)).alias("ints"))
-    return rows.select("vec_id", F.size("ints").alias("dim"), "ints")
+def usable_vectors(df: DataFrame, *, vec_id: str, vector: str) -> DataFrame:
+    """vec_id, dim, x (doubles) of the vectors that take part."""
+    fine = F.col(vec_id).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    rows = df.where(fine).select(F.col(vec_id).cast("bigint").alias("vec_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("x"))
+    return rows.select("vec_id", F.size("x").alias("dim"), "x")
+
+
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as long integers or, where one needs more bits than those have, as Python's."""
+    if np.abs(x).max(initial=0) * scale < 1 << 60:
+        return np.floor(x * float(scale)).astype(np.int64)
+    exact = [n * scale // d for n, d in map(float.as_integer_ratio, x.ravel().tolist())]
+    return np.array(exact, object).reshape(x.shape)
 
 
 def to_slices(ints: np.ndarray) -> tuple[int, np.ndarray]:
@@ -52,19 +64,21 @@ def to_slices(ints: np.ndarray) -> tuple[int, np.ndarray]:
 
 def build_index(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256, rows_per_block: int = 8192) -> tuple[DataFrame, int]:
     """The index, a row for each block, and the number of blocks."""
-    rows = integer_vectors(df, vec_id=vec_id, vector=vector, scale=scale)
+    rows = usable_vectors(df, vec_id=vec_id, vector=vector)
     blocks = max(1, -(-df.count() // rows_per_block))
 
     def block(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         dim = table.column("dim")[0].as_py()
-        ints = table.column("ints").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        ints = whole(table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, dim), scale)
         order = np.argsort(ids, kind="stable")
         bits, slices = to_slices(ints[order])
         return pa.table({"dim": pa.array([dim], pa.int32()), "block": table.column("block").slice(0, 1).cast(pa.int32()), "n": pa.array([len(ids)], pa.int32()), "bits": pa.array([bits], pa.int32()), "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "slices": pa.array([slices.tobytes()], pa.binary())})
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "ints"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("dim", "block").applyInArrow(block, INDEX), blocks
+    most = F.array_max(F.transform("x", F.abs)) * scale
+    size = F.when(most < 1 << 15, 0).when(most < 1 << 60, 1).otherwise(2)  # of one block as many slices as its largest needs
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int")).withColumn("magnitude", size)
+    return dealt.groupBy("dim", "block", "magnitude").applyInArrow(block, INDEX), blocks
 
 
 def signed_digits(q: int) -> list[tuple[int, int]]:
@@ -143,6 +157,11 @@ def select(total: list[np.ndarray], open_rows: np.ndarray, k: int) -> np.ndarray
     return np.concatenate((sure, positions(tied)[: k - len(sure)]))
 
 
+def magnitude(x: int) -> float:
+    """Grows with ``x`` beyond what a long holds: its sign times its logarithm, to some 12 digits."""
+    return math.log2(abs(x)) * (1 if x > 0 else -1) if abs(x) >= LONG else 0.0
+
+
 def search_block(ids: np.ndarray, slices: np.ndarray, bits: int, names: np.ndarray, queries: np.ndarray, k: int) -> tuple[list, list, list]:
     """(which query, row id, score) of each query's k best rows of a block."""
     n = len(ids)
@@ -164,29 +183,29 @@ def search_block(ids: np.ndarray, slices: np.ndarray, bits: int, names: np.ndarr
 
 def search(index: DataFrame, blocks: int, queries: DataFrame, *, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256, queries_per_block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows of the index. Equal queries count once."""
-    asked = integer_vectors(queries, vec_id=vec_id, vector=vector, scale=scale).distinct()
+    asked = usable_vectors(queries, vec_id=vec_id, vector=vector).distinct()
     groups = max(1, -(-queries.count() // queries_per_block))
 
     def pack(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
-        ints = table.column("ints").combine_chunks().flatten().to_numpy().astype("<i8")
-        return pa.table({"dim": pa.array([dim], pa.int32()), "part": table.column("part").slice(0, 1).cast(pa.int32()), "names": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "asked": pa.array([ints.tobytes()], pa.binary())})
+        x = table.column("x").combine_chunks().flatten().to_numpy().astype("<f8")
+        return pa.table({"dim": pa.array([dim], pa.int32()), "part": table.column("part").slice(0, 1).cast(pa.int32()), "names": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "asked": pa.array([x.tobytes()], pa.binary())})
 
-    packed = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "ints"), F.lit(groups)).cast("int")).groupBy("dim", "part").applyInArrow(pack, "dim int, part int, names binary, asked binary")
+    packed = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "x"), F.lit(groups)).cast("int")).groupBy("dim", "part").applyInArrow(pack, "dim int, part int, names binary, asked binary")
     sent = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = index.join(sent, ["dim", "block"])
 
-    @F.arrow_udf("array<struct<query_id: bigint, key: bigint, vec_id: bigint, score: bigint>>")
+    @F.arrow_udf("array<struct<query_id: bigint, key: bigint, vec_id: bigint, score: bigint, size: double>>")
     def best(dims: pa.Array, bits: pa.Array, ids: pa.Array, slices: pa.Array, names: pa.Array, wanted: pa.Array, parts: pa.Array) -> pa.Array:
         out = []
         for d, b, i, s, n, q, part in zip(dims, bits, ids, slices, names, wanted, parts, strict=True):
             own = np.frombuffer(i.as_py(), "<i8")
             planes = np.frombuffer(s.as_py(), np.uint64).reshape(d.as_py(), b.as_py(), -1)
             names_ = np.frombuffer(n.as_py(), "<i8")
-            which, rows, scores = search_block(own, planes, b.as_py(), names_, np.frombuffer(q.as_py(), "<i8").reshape(-1, d.as_py()), k)
-            out.append([{"query_id": int(names_[w]), "key": part.as_py() << 32 | w, "vec_id": r, "score": x} for w, r, x in zip(which, rows, scores, strict=True)])
-        return pa.array(out, pa.list_(pa.struct([("query_id", pa.int64()), ("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])))
+            which, rows, scores = search_block(own, planes, b.as_py(), names_, whole(np.frombuffer(q.as_py(), "<f8").reshape(-1, d.as_py()), scale), k)
+            out.append([{"query_id": int(names_[w]), "key": part.as_py() << 32 | w, "vec_id": r, "score": max(-LONG - 1, min(LONG, x)), "size": magnitude(x)} for w, r, x in zip(which, rows, scores, strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("query_id", pa.int64()), ("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("size", pa.float64())])))
 
     found = met.select(F.explode(best("dim", "bits", "ids", "slices", "names", "asked", "part")).alias("x"), "dim").select("x.*", "dim")
-    order = Window.partitionBy("query_id", "dim", "key").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id", "dim", "key").orderBy(F.col("score").desc(), F.col("size").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ChunkTable, PieceCache, cut_ids, encoded_pieces, once, read_bytes, small_batches
+from .shared import ChunkTable, EachWhole, PieceCache, cut_ids, encoded_pieces, once, read_bytes, small_batches
 
 TYPES = {
     "n_tokens": ("bigint", pa.int64()),
@@ -77,7 +77,7 @@ def as_tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 class ByteBpe:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, description: str):
+    def __init__(self, description: str, cached: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,7 +92,7 @@ class ByteBpe:
         self.size_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.digits_of = [str(i) for i in range(len(self.bytes_of))]
         self.model, self.spell = self.tokenizer.model, byte_table()
-        self.table = ChunkTable(PieceCache(self._encode_new, limit=100_000), "<u4", lead=True, limit=300_000, most=16 << 20)
+        self.table = ChunkTable(PieceCache(self._encode_new, limit=100_000), "<u4", lead=True, limit=300_000, most=16 << 20) if cached else EachWhole(self.tokenizer)
 
     def _encode_new(self, pieces: list[str]) -> list[bytes]:
         return encoded_pieces(pieces, self._encode_word, self._encode_all)
@@ -150,10 +150,15 @@ class ByteBpe:
 
 
 def sent(spark, ranks_path: str, pattern: str):
-    """The model, broadcast (it has a vocabulary's size), and a key for it."""
+    """The model, broadcast (it has a vocabulary's size), and a key for it.
+
+    Chunks are cached for the public pattern only, of which no match goes on from text into white space.
+    """
+    from public_tokenizers import PATTERN
+
     small_batches(spark)
     text = as_tokenizer_json(read_ranks(read_bytes(ranks_path)), pattern)
-    return spark.sparkContext.broadcast(text), hashlib.sha256(text.encode()).hexdigest()
+    return spark.sparkContext.broadcast((text, pattern == PATTERN)), hashlib.sha256(text.encode()).hexdigest()
 
 
 def encoded(df: DataFrame, text: str | Column = "text", *, ranks_path: str, pattern: str, outputs: tuple[str, ...] = ("ids", "n_tokens")) -> DataFrame:
@@ -162,7 +167,7 @@ def encoded(df: DataFrame, text: str | Column = "text", *, ranks_path: str, patt
 
     @F.arrow_udf("struct<" + ", ".join(f"{n}: {TYPES[n][0]}" for n in outputs) + ">")
     def run(texts: pa.Array) -> pa.Array:
-        codec = once(("byte_bpe", key), lambda: ByteBpe(description.value))
+        codec = once(("byte_bpe", key), lambda: ByteBpe(*description.value))
         if {*outputs} <= {"ids", "n_tokens"}:
             rows = [*codec.table.each(texts)]
             ends = np.cumsum([0, *map(len, rows)])
@@ -180,7 +185,7 @@ def decoded(df: DataFrame, ids: str = "ids", *, ranks_path: str, pattern: str, o
 
     @F.arrow_udf("binary")
     def run(lists: pa.Array) -> pa.Array:
-        codec = once(("byte_bpe", key), lambda: ByteBpe(description.value))
+        codec = once(("byte_bpe", key), lambda: ByteBpe(*description.value))
         return pa.array([None if x.as_py() is None else codec.decode(x.as_py()) for x in lists], pa.binary())
 
     return df.withColumn(output, run(F.col(ids)))

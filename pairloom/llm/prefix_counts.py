@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_table, unpacked
-from .shared import WHITE, WORD_PIECE, ChunkTable, PieceCache, once, read_bytes, small_batches
+from .shared import WHITE, WORD_PIECE, ChunkTable, PieceCache, once, read_bytes, small_batches, splits_at_blanks
 
 TYPES = {"n_tokens": ("bigint", pa.int64()), "prefix_deltas": ("binary", pa.binary())}
 NEVER = 1 << 30
@@ -255,6 +255,8 @@ def with_prefix_counts(df: DataFrame, text: str = "text", *, model_path: str, ou
     """``df`` with ``prefix_deltas``, the table of its text, and ``n_tokens``, what the table says of the whole text."""
     small_batches(df.sparkSession)
     description = read_bytes(model_path).decode()
+    if not splits_at_blanks(description):
+        raise ValueError("prefix counts need the preparation of texts that word_bpe_49k.json has")
     key = hashlib.sha256(description.encode()).hexdigest()
     sent = df.sparkSession.sparkContext.broadcast(description)  # a vocabulary's size
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import json
 import re
 import threading
 import time
@@ -90,6 +91,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def splits_at_blanks(description: str) -> bool:
+    """Whether a tokenizer prepares texts as that of word_bpe_49k.json does, whose words never cross white space.
+
+    Caches of chunks between blanks are exact for that preparation; other ones go without.
+    """
+    own, known = json.loads(description), json.loads(read_bytes(vocabulary("word_bpe_49k.json")))
+    return all(own.get(part) == known[part] for part in ("normalizer", "pre_tokenizer", "added_tokens"))
+
+
+class EachWhole:
+    """Stands for a ``ChunkTable`` where nothing is known of the pattern: every text goes to the library as it is."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for text in texts:
+            yield np.array(self.tokenizer.encode(text.as_py() or "", add_special_tokens=False).ids, "<u4")
+
+
 def read_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()

@@ -11,14 +11,14 @@ Documents are encoded where they lie; only packed ids are shuffled, by ranges of
 segments in order. What stands before a segment in its range is part of the row; what stands before a range is the
 table ``parts``, which has one row for each range.
 
-A null text is empty; every document ends with the end id. A null doc_id stands before all others. Rows with equal
+Chunks of text are cached for the preparation that word_bpe_49k.json has; with another tokenizer each text is encoded
+as a whole. A null text is empty; every document ends with the end id. A null doc_id stands before all others. Rows with equal
 doc_id are all written, in the order of their ids' bytes. An empty table gives an empty store.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 from array import array
 from collections.abc import Iterator
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_table
-from .shared import ChunkTable, PieceCache, cut_ids, encoded_pieces, once, read_bytes, small_batches
+from .shared import ChunkTable, EachWhole, PieceCache, cut_ids, encoded_pieces, once, read_bytes, small_batches, splits_at_blanks
 
 SEGMENT = "part int, seg int, before bigint, doc_ids binary, null_ids binary, doc_ends binary, n_docs int, n_tokens bigint, chunks array<binary>, more array<binary>, ranks array<binary>"
 ARROW = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("doc_ends", pa.binary()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("chunks", pa.list_(pa.binary())), ("more", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
@@ -99,7 +99,7 @@ class Segment:
 class IdEncoder:
     """One worker's encoder: text -> ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, description: str):
+    def __init__(self, description: str, cached: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -107,16 +107,10 @@ class IdEncoder:
 
         self.tokenizer = Tokenizer.from_str(description)
         self.model, self.spell = self.tokenizer.model, byte_table()
-        spec = json.loads(description)
-        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        self.direct = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in spec["pre_tokenizer"].get("pretokenizers", [])] == ["Split", "ByteLevel"]
-        self.table = ChunkTable(PieceCache(self._new), "<u4", lead=False, most=48 << 20, slice_bytes=8 << 20)
+        self.table = ChunkTable(PieceCache(self._new), "<u4", lead=False, most=48 << 20, slice_bytes=8 << 20) if cached else EachWhole(self.tokenizer)
 
     def _new(self, pieces: list[str]) -> list[bytes]:
-        return encoded_pieces(pieces, self._encode_word if self.direct else self._encode_all_of_one, self._encode_all)
-
-    def _encode_all_of_one(self, piece: str) -> bytes:
-        return self._encode_all(piece, [len(piece)])[0]
+        return encoded_pieces(pieces, self._encode_word, self._encode_all)
 
     def _encode_word(self, piece: str) -> bytes:
         """Letters are one word of the pattern, so the library's model gets them directly, lower-cased and spelt."""
@@ -137,12 +131,12 @@ def packed_ids(df: DataFrame, model_path: str, end_id: int, bounds: list[int]) -
     small_batches(df.sparkSession)
     description = read_bytes(model_path).decode()
     key = hashlib.sha256(description.encode()).hexdigest()
-    sent = df.sparkSession.sparkContext.broadcast((description, np.array(bounds, np.int64)))  # a vocabulary's size, and a number for each part
+    sent = df.sparkSession.sparkContext.broadcast((description, np.array(bounds, np.int64), splits_at_blanks(description)))  # a vocabulary's size, and a number for each part
     end = np.array([end_id], "<u4")
 
     @F.arrow_udf("struct<part: int, packed: binary>")
     def run(names: pa.Array, texts: pa.Array) -> pa.Array:
-        encoder = once(("token_store", key), lambda: IdEncoder(sent.value[0]))
+        encoder = once(("token_store", key), lambda: IdEncoder(sent.value[0], sent.value[2]))
         press = zstandard.ZstdCompressor(level=1)
         packed = [pack(np.concatenate((ids, end)), press) for ids in encoder.table.each(texts)]
         parts = np.searchsorted(sent.value[1], names.fill_null(np.iinfo(np.int64).min).to_numpy()).astype(np.int32)

@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 
 from pairloom.llm import bitsliced
@@ -47,3 +50,18 @@ def test_query(spark, sf_dir):
     want = {tuple(r) for r in con.execute(f"SELECT query_id, rank, vec_id, score FROM ({ORACLE_SQL['op3_bitsliced']})").fetchall()}
     got = [tuple(r) for r in QUERIES["op3_bitsliced"](spark, sf_dir).select("query_id", "rank", "vec_id", "score").collect()]
     assert len(got) == len(want) and {*got} == want
+
+
+def test_large_components(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    rows += [(100, [2.0**22] * 4), (101, [-(2.0**22)] * 4), (102, [2.0**23, 1.0, 0.5, -3.0]), (103, [2.0**40, 2.0**39, 0.0, 0.0]), (104, [1e300, -1e300, 0.0, 1.0]), (105, [1e300, 0.0, 0.0, 0.0]), (106, [5e-324, 0.0, 0.0, 0.0]), (107, [float("inf"), 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index, blocks = bitsliced.build_index(df, rows_per_block=16)
+    got = bitsliced.search(index, blocks, df, k=5, queries_per_block=16).collect()
+    ints = {i: [math.floor(256 * Fraction(x)) for x in v] for i, v in rows if i != 107}
+    assert {r.query_id for r in got} == {*ints}
+    clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    for q, v in ints.items():
+        want = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ints.items() if i != q))[:5]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, clip(-s)) for s, i in want]

@@ -71,3 +71,13 @@ def test_query(spark, sf_dir, library):
         ids = library.encode_ordinary(d.text)
         r = got[d.doc_id]
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(d.text.encode()).hexdigest())
+
+
+def test_other_patterns_go_without_the_cache(spark):
+    pattern = r"\S+\s+\S+|\s+|\S+"
+    texts = ["hello world again", " two  words\n", "", None, "one", "a b c d e"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in byte_bpe.encoded(df, ranks_path=P.path("byte_bpe_50k.tiktoken"), pattern=pattern).collect()}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert all(got[i] == library.encode_ordinary(t or "") for i, t in enumerate(texts))

@@ -62,3 +62,11 @@ def test_query(spark, sf_dir, library):
     for r in rows:
         n = len(library.encode(docs[r.doc_id], add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 2048)
+
+
+def test_other_models_are_refused(spark):
+    import public_tokenizers as P
+    import pytest
+
+    with pytest.raises(ValueError, match="preparation"):
+        prefix_counts.with_prefix_counts(spark.createDataFrame([("a",)], "text string"), model_path=P.path("byte_bpe_50k.json"))

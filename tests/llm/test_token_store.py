@@ -76,3 +76,15 @@ def test_query(spark, sf_dir, library):
         ids = [*library.encode(d.text or "", add_special_tokens=False).ids, 1]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_other_tokenizers_go_without_the_cache(spark, tmp_path):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    texts = ["hello world again", " two  words\n", "", "One"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    path = token_store.write(df, f"file://{tmp_path}/store", model_path=P.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in token_store.read_documents(spark, path).collect()}
+    assert all(got[i] == [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts))
