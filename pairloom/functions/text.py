@@ -150,7 +150,7 @@ def text_hash(text: Column) -> Column:
 
 
 #: Marks and their plain forms (fixed values).
-PLAIN_MARKS = {"‘": "'", "’": "'", "“": '"', "”": '"', "«": '"', "»": '"', "–": "-", "—": "-", " ": " "}
+PLAIN_MARKS = {"«": '"', "»": '"', "“": '"', "”": '"', "‘": "'", "’": "'", "—": "-", "–": "-", "‐": "-"}
 
 
 def plain_marks(text: Column) -> Column:

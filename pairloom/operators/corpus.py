@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as T
+from pairloom.functions import udfs
 
 
 def first_seen(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -36,14 +37,15 @@ def overlap_flags(df: DataFrame, surface: DataFrame, hashes: dict[str, Column],
     return own.join(known, "h", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("flags"))
 
 
-def gram_hits(df: DataFrame, banned: DataFrame, *, low: int = 8, high: int = 13, key: str = "id", text: str = "body") -> DataFrame:
-    """Keys of ``df`` that share a word n-gram of the orders with ``banned`` (text).
+def gram_hits(df: DataFrame, banned: DataFrame, *, low: int = 8, key: str = "id", text: str = "body") -> DataFrame:
+    """Keys of ``df`` that share a word n-gram of order ``low`` or a higher one with ``banned`` (text), both in NFC.
 
     The banned grams of the lowest order decide: a longer shared gram has a shorter one within it. Grams travel as
     64-bit hashes to find candidates, which are then compared as text.
     """
-    banned_grams = banned.select(F.explode(T.word_grams(F.col("text"), low, low)).alias("gram")).distinct().withColumn("h", F.xxhash64("gram"))
-    own = df.select(key, F.explode(T.word_grams(F.col(text), low, low)).alias("gram")).withColumn("h", F.xxhash64("gram"))
+    composed = lambda x: F.when(x.rlike("[^\\x00-\\x7f]"), udfs.nfc(x)).otherwise(x)
+    banned_grams = banned.select(F.explode(T.word_grams(composed(F.col("text")), low, low)).alias("gram")).distinct().withColumn("h", F.xxhash64("gram"))
+    own = df.select(key, F.explode(T.word_grams(composed(F.col(text)), low, low)).alias("gram")).withColumn("h", F.xxhash64("gram"))
     return own.join(banned_grams.select(F.col("h"), F.col("gram").alias("_g")), "h").where("gram = _g").select(key).distinct()
 
 

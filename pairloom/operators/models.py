@@ -76,13 +76,18 @@ def fit_perceptron(df: DataFrame, hidden: int = 16, seed: int = 1):
 
 
 def cross_validation(df: DataFrame, seeds: int = 3, k: int = 5, **options) -> DataFrame:
-    """ba_mean, ba_std, brier_mean, brier_std over seeds (population deviation)."""
+    """ba_mean, ba_std, brier_mean, brier_std over seeds (population deviation).
+
+    A fold's probabilities are calibrated on the fold after it, by margins of a model that has seen neither.
+    """
     out = None
     for s in range(seeds):
         rows = stratified_folds(df, k, s).persist()
         scored = None
         for f in range(k):
-            part = calibrated(margins(fit_trees(rows.where(F.col("fold") != f), seed=s + 1, **options), rows.where(F.col("fold") == f)), 2.0, 0.0)
+            after = (f + 1) % k
+            a, b = platt(margins(fit_trees(rows.where(~F.col("fold").isin(f, after)), seed=s + 1, **options), rows.where(F.col("fold") == after)))
+            part = calibrated(margins(fit_trees(rows.where(F.col("fold") != f), seed=s + 1, **options), rows.where(F.col("fold") == f)), a, b)
             scored = part if scored is None else scored.union(part)
         one = binary_metrics(scored).withColumn("seed", F.lit(s))
         out = one if out is None else out.union(one)

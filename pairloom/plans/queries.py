@@ -264,7 +264,7 @@ def topk_neighbors(s, d):
     return candidates.knn(vec(s, d), 3, floor=0.3).select("src", "dst", "similarity")
 
 
-@query(with_(VEC, SIM, "band AS (SELECT a, b, similarity FROM sim WHERE raw >= 0.3)", "best AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY similarity DESC, a, b) AS rk FROM (SELECT a, b, similarity, unnest([a, b]) AS node FROM band)) WHERE rk <= 3)") + "SELECT a, b, similarity FROM band WHERE (a, b) IN (SELECT (a, b) FROM best)")
+@query(with_(VEC, SIM, "band AS MATERIALIZED (SELECT a, b, similarity FROM sim WHERE raw >= 0.3)", "best AS (SELECT a, b, similarity, row_number() OVER (PARTITION BY node ORDER BY similarity DESC, a, b) AS rk FROM (SELECT a, b, similarity, a AS node FROM band UNION ALL SELECT a, b, similarity, b FROM band))") + "SELECT DISTINCT a, b, similarity FROM best WHERE rk <= 3")
 def mint_top_pairs(s, d):
     return corpus.top_k_per_node(candidates.cosine_pairs(vec(s, d), 0.3), 3)
 
@@ -517,7 +517,7 @@ def side_overlap_flags(s, d):
 GRAM8 = "g8 AS (SELECT id, unnest(list_transform(range(1, len(w) - 6), lambda i: list_aggregate(list_slice(w, i, i + 7), 'string_agg', ' '))) AS gram FROM (SELECT {0} AS id, list_filter(string_split({1}, ' '), lambda x: x <> '') AS w FROM {2}) WHERE len(w) >= 8)"
 
 
-@query(with_(GRAM8.format("doc_id", norm1("text"), "documents").replace("g8", "dg", 1), GRAM8.format("item_id", norm1("text"), "benchmark").replace("g8", "bg", 1)) + "SELECT DISTINCT id FROM dg WHERE gram IN (SELECT gram FROM bg)")
+@query(with_(GRAM8.format("doc_id", norm1("nfc_normalize(text)"), "documents").replace("g8", "dg", 1), GRAM8.format("item_id", norm1("nfc_normalize(text)"), "benchmark").replace("g8", "bg", 1)) + "SELECT DISTINCT id FROM dg WHERE gram IN (SELECT gram FROM bg)")
 def decontam_ngram_hits(s, d):
     return corpus.gram_hits(rec(s, d), tables.table(s, d, "benchmark"))
 

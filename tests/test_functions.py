@@ -58,7 +58,7 @@ def test_predicates(spark):
     assert one(spark, T.corridor(F.col("a"), F.col("b"), F.col("c")), a="x" * 100, b="title", c="y" * 400) == "length"
     assert one(spark, T.swap_case(F.col("a")), a="aBc1") == "AbC1"
     assert one(spark, T.skeleton(F.col("a")), a="a1 ж!") == "<mixed len=5 shape=wd.w.>"
-    assert one(spark, T.plain_marks(F.col("a")), a="“x”—y…") == '"x"-y...'
+    assert one(spark, T.plain_marks(F.col("a")), a="“x”—y…«z»‐ ") == '"x"-y..."z"- '
 
 
 def test_vectors(spark):

@@ -1,3 +1,4 @@
+import unicodedata
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -108,6 +109,9 @@ def test_decontamination(spark):
     docs = spark.createDataFrame([(1, " ".join(words[:20])), (2, " ".join(words[10:17])), (3, "nothing here")], "id long, body string")
     banned = spark.createDataFrame([(" ".join(words[5:15]).upper(),)], "text string")
     assert [r.id for r in corpus.gram_hits(docs, banned).collect()] == [1]
+    words = "café ä b c d e f g h"
+    for made, sought in ((words, unicodedata.normalize("NFD", words)), (unicodedata.normalize("NFD", words), words)):
+        assert corpus.gram_hits(spark.createDataFrame([(7, made)], "id long, body string"), spark.createDataFrame([(sought,)], "text string")).count() == 1
     assert sorted(r.id for r in corpus.decontaminated(docs, banned).collect()) == [2, 3]
 
 
