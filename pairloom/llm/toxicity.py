@@ -223,7 +223,7 @@ def content(dictionary: bytes) -> bytes:
     return dictionary[dictionary.index(OFFSETS) + len(OFFSETS) :]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1600, max_bytes: int = 16 << 20, window: int = 40, step: int = 24, ordinary_bytes: int = 1 << 16, toxic_bytes: int = 1 << 14, surprise: tuple[float, ...] = (4.5, 6.0), times: float = 3.0, folds: int = 4) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1600, max_bytes: int = 16 << 20, window: int = 40, step: int = 24, ordinary_bytes: int = 1 << 16, toxic_bytes: int = 1 << 14, surprise: tuple[float, ...] = (4.5, 6.0), times: float = 3.0, folds: int = 6) -> Toxicity:
     """Learns from whole texts of at most ``per_class`` rows and ``max_bytes`` bytes of each label (1: toxic).
 
     Of the values of ``surprise``, by how many standard deviations a passage must stand out, the one is taken whose cut
