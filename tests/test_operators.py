@@ -198,3 +198,37 @@ def test_transforms(spark):
     slots = spark.createDataFrame([("s1", "a"), ("s1", "b"), ("s2", "x"), ("s2", "y"), ("s2", "z")], "slot string, value string")
     assert len({tuple(x["values"]) for x in transforms.combinations(slots, 10).collect()}) == 6
     assert transforms.both_directions(spark.createDataFrame([(1, 2)], "a int, b int"), "a", "b").count() == 2
+
+
+def test_neighbours_leave_a_task_only_if_they_rank(spark):
+    """Several blocks, copies that tie, and products below -1: every row has its k best, ties to the smaller id."""
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(60, 4)).round(1)
+    x[40:50] = x[3]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<float>")
+    dots = x.astype(np.float32).astype(float) @ x.astype(np.float32).astype(float).T
+    want = {i: [j for _, j in sorted((-round(float(dots[i, j]), 6), j) for j in range(60) if j != i)[:3]] for i in range(60)}
+    for block in (7, 1000):
+        got = {}
+        for r in candidates.knn(df, 3, block=block).orderBy("src", "rank").collect():
+            got.setdefault(r.src, []).append(r.dst)
+        assert got == want
+    apart = spark.createDataFrame([(1, [2.0, 0.0]), (2, [-2.0, 0.0])], "id long, v array<double>")
+    assert {r.id: r.best for r in retrieval.best_distractor(apart).collect()} == {1: -4.0, 2: -4.0}
+
+
+def test_bucketed_cosines_in_blocks(spark):
+    df = spark.createDataFrame([(i, [1.0 if i % 2 else 0.5, 0.0], i % 3 if i < 28 else None) for i in range(30)], "id long, v array<double>, label int")
+    want = {(i, j) for i in range(28) for j in range(i + 1, 28) if i % 3 == j % 3 and not (i % 2 and j % 2) and (i % 2 or j % 2)}
+    for block in (4, 100):
+        got = [(r.a, r.b) for r in candidates.cosine_pairs(df, 0.3, 0.5, by="label", closed=True, block=block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_half_up_rounds_as_spark_does(spark):
+    import numpy as np
+
+    x = np.concatenate((np.arange(-2000, 2000) / 128, np.random.default_rng(1).normal(size=2000), [0.5000005, 1 / 640, -1e-9]))
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert candidates.half_up(x, 6).tolist() == want
