@@ -232,3 +232,41 @@ def test_half_up_rounds_as_spark_does(spark):
     x = np.concatenate((np.arange(-2000, 2000) / 128, np.random.default_rng(1).normal(size=2000), [0.5000005, 1 / 640, -1e-9]))
     want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
     assert candidates.half_up(x, 6).tolist() == want
+
+
+def test_keyed_pairs_are_those_of_joined_rows(spark):
+    """Blocks of any size, short and empty texts, nulls, letters beyond 16 bits: each pair once, its facts as from joined rows."""
+    import random
+
+    from pairloom.functions import text as T
+    from pairloom.operators import keyed_pairs
+
+    rng = random.Random(4)
+    words = ["ab", "abc", "Ж1", "x9", "9.5", "zz", "café", "\U0001d54f\U0001d54f", "q"]
+    rows = [(i, f"T {i % 3}" if i % 11 else None, " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 12]))), rng.choice([["a", "b"], ["b", None], [], ["b", "a"]]), rng.choice(["ru", None, "en"]), rng.choice(["note", None]), "s" if i % 13 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, SIDE + ", source string").repartition(3)
+    keys = [T.norm1(F.col("title")), F.col("source")]
+    p = candidates.pairs_by_key(df.withColumn("ws", F.array_distinct(T.words(T.norm1(F.col("body"))))), keys, ["ws"])
+    p = p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(T.jaccard(F.col("a_ws"), F.col("b_ws")), 4).alias("similarity"))
+    x = features.pair_features(p, df).withColumns({"tags_eq": F.array_sort("a_tags") == F.array_sort("b_tags"), "type_eq": F.col("a_record_type") == F.col("b_record_type"), "lang_eq": F.col("a_language").eqNullSafe(F.col("b_language"))})
+    side = lambda s: {n: F.col(f"{s}_{n}") for n in ("title", "body", "tags", "language", "record_type")}
+    c5 = T.jaccard(T.char_grams(T.norm1(F.col("a_body")), 5), T.char_grams(T.norm1(F.col("b_body")), 5))
+    x = x.withColumns({c: F.round(c, 6) for c in features.CORE if "jaccard" in c or "containment" in c}).withColumns({"class": silver.census_class(*map(F.col, ("a_title", "a_body", "b_title", "b_body", "tags_eq", "type_eq", "lang_eq"))), "zeps": silver.zeps(side("a"), side("b")), "c5": c5})
+    wanted = ("a", "b", "similarity", *features.CORE, "class", "zeps", "c5")
+    want = sorted(map(tuple, x.select(*wanted).collect()))
+    assert len(want) > 300
+    for most in (3, 1000):
+        assert sorted(map(tuple, keyed_pairs.pair_facts(df, keys, wanted, most_rows=most).collect())) == want
+
+
+def test_distinct_values_and_frequent_grams(spark, monkeypatch):
+    """Values of a feature are counted by value, whatever tasks they come from; lists and matrix of grams count the same."""
+    from pairloom.operators import keyed_pairs
+
+    df = spark.createDataFrame([(i, "t", "abcdefgh"[: i % 7 + 1] * 3, ["x"], "en", "note") for i in range(20)], SIDE)
+    made = []
+    for share, most in ((0.0, 1000), (2.0, 4)):
+        monkeypatch.setattr(keyed_pairs, "SHARE", share)
+        rows = keyed_pairs.pair_facts(df, [F.col("title")], features.CORE, reduce=keyed_pairs.values_of, schema="feature string, value double", most_rows=most)
+        made.append({r.feature: (r.n_distinct, r.constant) for r in metrics.distinct_by_name(rows).collect()})
+    assert made[0] == made[1] and made[0]["tag_jaccard"] == (1, True) and made[0]["char3_jaccard"][0] > 2 and len(made[0]) == 13
