@@ -41,6 +41,21 @@ def test_against_brute_force(spark):
     assert pq_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_distances_are_those_of_the_tables():
+    rng = np.random.default_rng(4)
+    x = pq_dedup.unit(rng.normal(size=(700, 20)))
+    q = pq_dedup.fit(x[:400], 5)
+    codes, error = q.residual_codes(x, np.full(700, 2))
+    ends = list(zip([0, *q.edges[:-1]], q.edges, strict=True))
+    rest = x[:50] - q.centroids[2]
+    tables = [((rest[:, None, a:e] - book) ** 2).sum(2) for book, (a, e) in zip(q.books, ends, strict=True)]
+    want = sum(t[:, codes[:, m]] for m, t in enumerate(tables))
+    got = q.distances(x[:50], 2, q.decoded(codes))
+    assert np.abs(got - want).max() < 1e-5
+    true = np.sqrt(((x[:50, None] - x) ** 2).sum(2))
+    assert (np.sqrt(np.maximum(got, 0)) - error <= true + 1e-4).all()  # so the filter loses no pair
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (201, 202), (202, 200), (300, 300), (500, 499), (500, 498), (498, 497)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
