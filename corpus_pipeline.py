@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import byte_bpe, byte_cnn, fair_mix, jaccard_join, toxicity
 from pairloom.llm.learning import remainder
-from pairloom.llm.shared import removed, tables_made, vocabulary, written
+from pairloom.llm.shared import give_back, removed, tables_made, vocabulary, written
 
 
 def chosen(docs: DataFrame, scored: Callable[[DataFrame, str], DataFrame], keep: Column) -> DataFrame:
@@ -30,6 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good; it learns from four fifths of the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = byte_cnn.fit(docs, labels.where(remainder("doc_id", 5) != 0))
+    give_back()
     return chosen(docs, lambda rows, text: byte_cnn.scored(rows, net, text=text), F.col("score") >= byte_cnn.THRESHOLD)
 
 
@@ -37,6 +38,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; the dictionaries come from two thirds of the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(remainder("doc_id", 3) != 1))
+    give_back()
     return chosen(docs, lambda rows, text: toxicity.scored(rows, model, text=text), F.col("score") < toxicity.THRESHOLD)
 
 

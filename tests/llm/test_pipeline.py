@@ -46,3 +46,16 @@ def test_odd_rows(spark, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             seen = corpus_pipeline.written(stage(spark, seen, sf_dir), name)
         seen.count()
+
+
+def test_fits_give_their_memory_back(spark, sf_dir, monkeypatch):
+    """What the fits leave free in the driver's Python goes back before the stages run."""
+    seen = []
+    for module in (corpus_pipeline.byte_cnn, corpus_pipeline.toxicity):
+        monkeypatch.setattr(module, "fit", lambda *a, m=module, **b: seen.append(m))
+    monkeypatch.setattr(corpus_pipeline, "chosen", lambda docs, *a: seen.append("scored"))
+    monkeypatch.setattr(corpus_pipeline, "give_back", lambda: seen.append("back"), raising=False)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    corpus_pipeline.quality(spark, docs, sf_dir)
+    corpus_pipeline.not_toxic(spark, docs, sf_dir)
+    assert seen == [corpus_pipeline.byte_cnn, "back", "scored", corpus_pipeline.toxicity, "back", "scored"]
