@@ -133,3 +133,25 @@ def test_models(spark, tmp_path):
     again, found = models.load(spark, str(tmp_path / "m"))
     assert found == manifest and abs(models.score(df, again, a, b).agg(F.sum("p")).first()[0] - scored.agg(F.sum("p")).first()[0]) < 1e-9
     assert models.fit_perceptron(df).transform(models.assembled(df)).count() == 80
+
+
+def sift_documents(spark, path):
+    head = "One title that is forty characters long."
+    ends = ["", " a 1 b", " a 2 b", " a b", " a 1 2 b", " c date 5 d", " c date 6 d", " c updated then d", " plain words only", " plain other only", " a 1 b plain words", " 7", " a 1", " " + " ".join(map(str, range(70))), " всё это по-русски и совсем другое длинное дело, вот так и так"]
+    bodies = [head + x for x in ends] + [head + "  A 1 B"]
+    docs = [(i, b, ["en", "de"][i % 2], "web", len(b)) for i, b in enumerate(bodies)] + [(99, "Alone", "en", "web", 5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{path}/documents.parquet")
+
+
+def test_verdicts_are_those_of_difflib(spark, tmp_path):
+    """Pairs whose verdict needs no difflib have the same as by it, and no texts are joined to pairs."""
+    from pairloom.operators import silver
+    from pairloom.plans.queries import census
+
+    sift_documents(spark, tmp_path)
+    found = QUERIES["sift_pairs"](spark, str(tmp_path))
+    want = silver.sift(census(spark, str(tmp_path))).select("pair_id", "verdict")
+    got = {r.pair_id: r.verdict for r in found.collect()}
+    assert got == {r.pair_id: r.verdict for r in want.collect()} and len(got) == 120
+    assert {"disputed", "dup-silver", "not-dup-razor", "not-dup-metadata", "not-dup-razor+disputed"} <= set(got.values())
+    assert "a_body" not in found._jdf.queryExecution().toString()
