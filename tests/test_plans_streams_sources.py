@@ -155,3 +155,10 @@ def test_verdicts_are_those_of_difflib(spark, tmp_path):
     assert got == {r.pair_id: r.verdict for r in want.collect()} and len(got) == 120
     assert {"disputed", "dup-silver", "not-dup-razor", "not-dup-metadata", "not-dup-razor+disputed"} <= set(got.values())
     assert "a_body" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["edit_mass", "edit_hulls"])
+def test_edits_join_no_texts_to_pairs(spark, tmp_path, name):
+    sift_documents(spark, tmp_path)
+    found = QUERIES[name](spark, str(tmp_path))
+    assert found.count() == 120 and "a_body" not in found._jdf.queryExecution().toString()
