@@ -162,3 +162,12 @@ def test_edits_join_no_texts_to_pairs(spark, tmp_path, name):
     sift_documents(spark, tmp_path)
     found = QUERIES[name](spark, str(tmp_path))
     assert found.count() == 120 and "a_body" not in found._jdf.queryExecution().toString()
+
+
+def test_scores_of_pairs_join_no_texts(spark, sf_dir, monkeypatch):
+    taken = []
+    monkeypatch.setattr(models, "train", lambda x, **options: taken.append(x) or (None, 1.0, 0.0))
+    monkeypatch.setattr(models, "score", lambda x, *a: x.withColumn("p", F.lit(0.5)))
+    QUERIES["gbt_scores"](spark, sf_dir)
+    assert "a_body" not in taken[0]._jdf.queryExecution().toString()
+    taken[0].unpersist()
