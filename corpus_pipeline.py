@@ -7,6 +7,7 @@ is nothing to learn: the quality classifier then keeps every document, and so do
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import byte_bpe, byte_cnn, fair_mix, jaccard_join, toxicity
 from pairloom.llm.learning import remainder
-from pairloom.llm.shared import give_back, removed, tables_made, vocabulary, written
+from pairloom.llm.shared import executors_give_back, give_back, removed, tables_made, vocabulary, written
 
 
 def chosen(docs: DataFrame, scored: Callable[[DataFrame, str], DataFrame], keep: Column) -> DataFrame:
@@ -60,12 +61,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.drop("text")
 
 
+def with_room(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, before which executors give back the memory that earlier ones needed."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        executors_give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_classifier", quality),
-    ("toxicity", not_toxic),
-    ("ngram_jaccard_join", one_of_each_group),
-    ("source_mix", mix),
-    ("byte_bpe", tokens),
+    ("quality_classifier", with_room(quality)),
+    ("toxicity", with_room(not_toxic)),
+    ("ngram_jaccard_join", with_room(one_of_each_group)),
+    ("source_mix", with_room(mix)),
+    ("byte_bpe", with_room(tokens)),
 ]
 
 #: Learned models, hash orders and vocabularies are beyond SQL; tests/llm/test_pipeline.py holds run() against a plain version.

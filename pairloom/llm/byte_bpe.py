@@ -92,7 +92,7 @@ class ByteBpe:
         self.size_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.digits_of = [str(i) for i in range(len(self.bytes_of))]
         self.model, self.spell = self.tokenizer.model, byte_table()
-        self.table = ChunkTable(PieceCache(self._encode_new, limit=100_000), "<u4", lead=True, limit=300_000, most=16 << 20) if cached else EachWhole(self.tokenizer)
+        self.table = ChunkTable(PieceCache(self._encode_new, limit=50_000), "<u4", lead=True, limit=150_000, most=16 << 20, slice_bytes=1 << 20) if cached else EachWhole(self.tokenizer)
 
     def _encode_new(self, pieces: list[str]) -> list[bytes]:
         return encoded_pieces(pieces, self._encode_word, self._encode_all)

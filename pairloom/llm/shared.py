@@ -77,6 +77,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def executors_give_back(spark: SparkSession) -> None:
+    """Has the executors' Java machines collect their garbage now, a task for each core, so that heap and buffers go back.
+
+    A heap grows to its limit in a heavy stage and stays so large, beside the Python workers of the stages after it. A
+    full collection shrinks it to what is in use. Where explicit collections are disabled nothing happens.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of texts are kept small, unless the session says otherwise: a worker holds several of them at once."""
     for name, usual, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b")):

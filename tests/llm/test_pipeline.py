@@ -59,3 +59,14 @@ def test_fits_give_their_memory_back(spark, sf_dir, monkeypatch):
     corpus_pipeline.quality(spark, docs, sf_dir)
     corpus_pipeline.not_toxic(spark, docs, sf_dir)
     assert seen == [corpus_pipeline.byte_cnn, "back", "scored", corpus_pipeline.toxicity, "back", "scored"]
+
+
+def test_stages_begin_with_collected_heaps(spark, sf_dir):
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = spark.createDataFrame([(1, "s", "a b c"), (2, None, None)], "doc_id long, source string, text string")
+    before = collections()  # the local master's executor is this Java machine
+    dict(corpus_pipeline.STAGES)["byte_bpe"](spark, docs, sf_dir)
+    assert collections() > before
