@@ -193,7 +193,9 @@ def search(index: DataFrame, blocks: int, queries: DataFrame, *, k: int = 5, vec
 
     packed = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "x"), F.lit(groups)).cast("int")).groupBy("dim", "part").applyInArrow(pack, "dim int, part int, names binary, asked binary")
     sent = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = index.join(sent, ["dim", "block"])
+    # Spark takes the sent queries for as small as before explode(), and would broadcast them, through the driver. By merge
+    # nothing goes there, and with the index on the right a task buffers one block, not all queries.
+    met = sent.join(index.hint("merge"), ["dim", "block"])
 
     @F.arrow_udf("array<struct<query_id: bigint, key: bigint, vec_id: bigint, score: bigint, size: double>>")
     def best(dims: pa.Array, bits: pa.Array, ids: pa.Array, slices: pa.Array, names: pa.Array, wanted: pa.Array, parts: pa.Array) -> pa.Array:

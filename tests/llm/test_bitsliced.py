@@ -65,3 +65,14 @@ def test_large_components(spark):
     for q, v in ints.items():
         want = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ints.items() if i != q))[:5]
         assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, clip(-s)) for s, i in want]
+
+
+def test_queries_are_not_broadcast(spark):
+    """explode() sends a copy of the queries to each block, which Spark's estimate of their size leaves out."""
+    rows = [(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index, blocks = bitsliced.build_index(df, rows_per_block=16)
+    found = bitsliced.search(index, blocks, df, queries_per_block=16)
+    assert {tuple(r) for r in found.collect()} == by_hand(rows, {*range(200)}, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
