@@ -171,3 +171,59 @@ def test_scores_of_pairs_join_no_texts(spark, sf_dir, monkeypatch):
     QUERIES["gbt_scores"](spark, sf_dir)
     assert "a_body" not in taken[0]._jdf.queryExecution().toString()
     taken[0].unpersist()
+
+
+def sequences(rng):
+    """Texts that differ much, little and not at all, over few and many characters; some long enough for popular ones."""
+    out = []
+    for letters in ("ab", "abcdefghijklmnopqrstuvwxyz " * 6 + "ABCD0123.,", "aab c e t \U0001d54f9"):
+        made = ["".join(rng.choices(letters, k=n)) for n in (0, 1, 30, 150, 199, 200, 420)]
+        for _ in range(6):
+            x = rng.choice(made)
+            p = rng.randrange(len(x) + 1)
+            made.append(x[:p] + rng.choice(["", "".join(rng.choices(letters, k=9)), x[:p]]) + x[p + rng.randrange(20) :])
+        out.append([*made, made[-1]])
+    return out
+
+
+@pytest.mark.parametrize("mode", ["mass", "hulls", "verdict"])
+def test_edits_in_the_jvm_are_those_of_difflib(spark, mode):
+    """Runs of any least length, and difflib's own search where a pair has too many, in one block and between two."""
+    import random
+
+    from pairloom.functions import native, udfs
+
+    groups = sequences(random.Random(5))
+    if mode == "verdict":
+        groups = [[" ".join(random.Random(len(t)).choices(["a", "b", "c", "1", "x9²", "date", "updated:", *t.split()], k=len(t) // 4)) for t in g] for g in groups]
+    rows = [(g, i, i % 2, t, 1, None if i % 3 else "m") for g, texts in enumerate(groups) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "g int, id long, own int, text string, script int, meta string").groupBy("g").agg(F.collect_list(F.struct("id", "own", "text", "script", "meta")).alias("rows"))
+    want = {}
+    for g, texts in enumerate(groups):
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            p, q = (x.split() if mode == "verdict" else x for x in (texts[i], texts[j]))
+            found = difflib.SequenceMatcher(None, p, q, autojunk=mode == "mass").get_opcodes()
+            n = udfs.token_counts(found, p, q, native.MARKERS) if mode == "verdict" else {}
+            verdict = lambda: (2 if i % 3 or j % 3 else 1) if p == q else 3 + (n["razor"] > 0) + 2 * (n["other"] > 0)  # noqa: B023, E731
+            want[g, i, j] = udfs.mass_of(found) if mode == "mass" else len(udfs.hulls_of(found)) if mode == "hulls" else verdict()
+    for run, most, within in ((native.RUN, native.MOST, True), (2, native.MOST, False), (8, native.MOST, True), (4, 10, True), (5, 0, False)):
+        made = df.select("g", F.inline(native.edits(spark, mode, F.col("rows"), F.lit(within), run=run, most=most)))
+        assert {(r.g, r.a, r.b): r.value for r in made.collect()} == {k: v for k, v in want.items() if within or k[1] % 2 != k[2] % 2}
+
+
+def test_a_group_of_long_texts_has_its_hulls_in_seconds(spark, tmp_path):
+    """2,016 pairs of 3,000 characters: about a second a pair by difflib."""
+    import random
+    import time
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 7))) for _ in range(300)]
+    docs = [(i, "One title that is forty characters long. " + " ".join(rng.choices(words, k=540)), "en", "web", 0) for i in range(64)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    got = {r.pair_id: r.hulls for r in QUERIES["edit_hulls"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2016 and time.time() - began < 120
+    x, y = (" ".join(docs[i][1].split()).lower() for i in (3, 50))
+    from pairloom.functions import udfs
+
+    assert got["3--50"] == len(udfs.hulls_of(difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()))
