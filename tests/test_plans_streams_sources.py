@@ -227,3 +227,16 @@ def test_a_group_of_long_texts_has_its_hulls_in_seconds(spark, tmp_path):
     from pairloom.functions import udfs
 
     assert got["3--50"] == len(udfs.hulls_of(difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()))
+
+
+def test_verdicts_of_equal_texts_go_by_metadata(spark):
+    """Tags in any order are the same, no tags are as null, null languages are equal and null types are not; blocks of any size."""
+    from pairloom.operators import keyed_pairs
+
+    sides = [(["a", "b"], "en", "note"), (["b", "a"], "en", "note"), (["b", None], "en", "note"), ([None, "b"], "en", "note"), ([], None, "note"), (None, None, "note"), ([], "", "note"), ([], None, None), ([], None, None), (["a"], "en", "fact")]
+    rows = [(i, "t", ["One two", "one  TWO"][i % 2], *s) for i, s in enumerate(sides)] + [(None, "t", "one two", [], "en", "note")]
+    df = spark.createDataFrame(rows, "id long, title string, body string, tags array<string>, language string, record_type string")
+    for most in (2, 100):
+        made = keyed_pairs.pair_edits(df, [F.col("title")], "verdict", most_rows=most).collect()
+        assert len(made) == 45 and {(r.a, r.b) for r in made if r.verdict == "dup-silver"} == {(0, 1), (2, 3), (4, 5)}
+        assert {r.verdict for r in made} == {"dup-silver", "not-dup-metadata"}
